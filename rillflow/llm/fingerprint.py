@@ -17,6 +17,8 @@ rows are fingerprinted each; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,11 +63,13 @@ def merged(a: str, b: str) -> Column:
     return F.array_sort(F.array_union(F.col(f"{a}_hashes"), F.col(f"{b}_hashes")))
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], per_partition: int = 2) -> DataFrame:
+def with_next(docs: DataFrame, key: str, text: str, add: Callable[[DataFrame], DataFrame], columns: list[str], per_partition: int = 2) -> DataFrame:
     """Add ``next_<c>`` for each column: its value in the row next by ``key``; after the last, the first.
 
     Rows are cut into ranges of the key, so each task sorts its own range; the
     first row of each range (one for each range) is handed to the range before.
+    Rows of equal keys follow a hash of ``text``. ``add`` makes ``columns``, once
+    for each row.
     """
     spark = docs.sparkSession
     ranges = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -81,18 +85,19 @@ def with_next(docs: DataFrame, key: str, columns: list[str], per_partition: int
             return F.when(F.col(key) < F.lit(bounds[mid]), search(low, mid)).otherwise(search(mid + 1, high))
 
         tree = F.when(F.col(key).isNull(), F.lit(0)).otherwise(search(0, len(bounds)))
-    rows = docs.withColumn("_range", tree).withColumn("_tie", F.xxhash64(*columns))
+    rows = docs.withColumn("_range", tree).withColumn("_tie", F.xxhash64(text))
     first = rows.groupBy("_range").agg(F.min(F.struct(F.col(key).isNotNull(), F.col(key), F.col("_tie"))).alias("_f")).select("_range", F.col(f"_f.{key}").alias("_key"), F.col("_f._tie").alias("_first_tie"))
     across = Window.orderBy("_range")  # one row for each range
     ends = first.select(F.col("_range").alias("_to"), "_key", "_first_tie", F.coalesce(F.lag("_range").over(across), F.max("_range").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_from"))
-    opening = rows.select(F.col("_range").alias("_to2"), F.col(key).alias("_key2"), F.col("_tie").alias("_tie2"), F.struct(*columns).alias("_opening"))
-    opening = opening.join(F.broadcast(ends), (F.col("_to2") == F.col("_to")) & F.col("_key2").eqNullSafe(F.col("_key")) & (F.col("_tie2") == F.col("_first_tie")))
-    opening = opening.select("_from", "_opening").dropDuplicates(["_from"])
+    opening = rows.join(F.broadcast(ends), (F.col("_range") == F.col("_to")) & F.col(key).eqNullSafe(F.col("_key")) & (F.col("_tie") == F.col("_first_tie")))
+    opening = add(opening.dropDuplicates(["_from"])).select("_from", F.struct(*columns).alias("_opening"))
+    rows = add(rows)
+    kept = [c for c in rows.columns if c not in ("_range", "_tie")]
     within = Window.partitionBy("_range").orderBy(key, "_tie")
     rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(within))
     joined = rows.join(F.broadcast(opening), (F.col("_range") == F.col("_from")) & F.col("_next").isNull(), "left")
     joined = joined.withColumn("_next", F.coalesce("_next", "_opening"))
-    return joined.select(*docs.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
+    return joined.select(*kept, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE) -> DataFrame:
@@ -105,7 +110,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def compare_edited(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     """Fingerprint each text and its edit: the last half replaced by the next text's beginning."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("own_text"))
-    rows = with_next(sketch(rows, "own_text", "own", scale), "doc_id", ["own_text", "own_digest", "own_hashes"])
+    rows = with_next(rows, "doc_id", "own_text", lambda d: sketch(d, "own_text", "own", scale), ["own_text", "own_digest", "own_hashes"])
     rows = rows.withColumnsRenamed({"next_own_digest": "next_digest", "next_own_hashes": "next_hashes"})
     n = F.length("own_text")
     half = F.floor(n / 2).cast("int")
