@@ -44,6 +44,7 @@ FREQUENT = 20
 LIGHT = 40
 SCAN_COST = 8
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_MASK = (1 << 64) - 1
 
 
 def need(a: int, b: int, percent: int) -> int:
@@ -70,9 +71,9 @@ def shingles(raw: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         extra = []
         for i in short:
-            s = np.uint64(n[i])
-            for x in h[ends[i] - n[i] : ends[i]]:
-                s = s * _STEP + x
+            s = int(n[i])
+            for x in h[ends[i] - n[i] : ends[i]].tolist():
+                s = (s * int(_STEP) + x) & _MASK
             extra.append(s)
         found = np.concatenate([found, mix(np.array(extra, np.uint64) ^ _STEP)])
         owner = np.concatenate([owner, short])
@@ -190,7 +191,7 @@ def light_links(classes: DataFrame, percent: int) -> DataFrame:
                 keys, smaller = [], []
                 for a, b, c in pairs_of_sizes(n, percent):
                     out = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
-                    keys.append(mix(total - own[out].sum(axis=1, dtype=np.uint64) + np.uint64(a << 32 | b) * _STEP))
+                    keys.append(mix(total - own[out].sum(axis=1, dtype=np.uint64) + np.uint64((a << 32 | b) * int(_STEP) & _MASK)))
                     smaller.append(np.full(len(out), n == a))
                 if keys:
                     flat = np.concatenate(keys).view(np.int64)

@@ -195,16 +195,17 @@ def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
     return Model(langs, weights * idf * scale, bias, temperature(logits, label[back]))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs``, the language of each whole text and its probability."""
+def predict(docs: DataFrame, model: Model, keep: list[str], out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of ``docs``, the language of each whole text and its probability as ``out``."""
     small_batches(docs.sparkSession)
+    reads = "text" if "text" in keep else "_read_text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for part, raw in chunks(batches, "_read_text", 1 << 20):
+        for part, raw in chunks(batches, reads, 1 << 20):
             langs, p = own.predict([x.decode("utf-8", "replace") for x in raw])
-            yield pa.record_batch([*(part.column(n) for n in keep), pa.array(langs, pa.string()), pa.array(p, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.record_batch([*(part.column(n) for n in keep), pa.array(langs, pa.string()), pa.array(p, pa.float64())], names=[*keep, *out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").alias("_read_text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*keep, *([] if "text" in keep else [F.col("text").alias(reads)])).mapInArrow(run, f"{kinds}, {out[0]} string, {out[1]} double")

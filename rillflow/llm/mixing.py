@@ -1,9 +1,9 @@
 """Mixing sources to target weights by a temperature.
 
 A source with share p of all tokens gets weight p**a / sum(p**a). The exponent a
-is bisected to the largest spread (lowest a) that keeps the mixture's entropy at
-or below ``entropy`` times the logarithm of the number of sources and no source
-repeated more than ``repeats`` times. The weights are then realised: a source
+from 0 (all alike) to 1 (as they are) is bisected until the mixture's entropy is
+``entropy`` times the logarithm of the number of sources, or a source is repeated
+``repeats`` times, whichever comes first on the way from 1. The weights are then realised: a source
 repeats whole permutations of its documents, and a last part of one, until its
 budget of tokens is used; its stream is cut evenly over all blocks, so that each
 block holds all sources at their weights. Everything is DataFrame expressions.
@@ -28,11 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-ENTROPY = 0.97
+ENTROPY = 0.92
 REPEATS = 4.0
 BLOCK_TOKENS = 1 << 20
 STEPS_A_JOB = 6
-HIGHEST = 4.0
 
 
 def words_in(text: Column) -> Column:
@@ -70,7 +69,7 @@ def solve(sources: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS
         spent = budget if budget is not None else row["cover"] * total
         return row["entropy"] <= goal and row["most"] * spent / total / row["z"] <= repeats * (1 + 1e-9)
 
-    low, high = 0.0, HIGHEST
+    low, high = 0.0, 1.0
     ends = {r["a"]: r for r in _at(sources, total, [low, high])}
     if fits(ends[low]):
         high = low
@@ -127,9 +126,9 @@ def apply(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mixture with all their columns, each as often as it is used."""
     key = F.xxhash64("doc_id", "source", "text")
     chosen = mix(docs.withColumn("doc_id", key), **settings)
-    times = chosen.groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_rows"))
-    numbered = docs.withColumn("_key", key).withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")))
-    share = F.count("*").over(Window.partitionBy("_key"))
-    joined = numbered.withColumn("_n", share).join(times, "_key")
-    each = F.floor(F.col("_rows") / F.col("_n")) + (F.col("_i") <= F.col("_rows") % F.col("_n")).cast("int")
-    return joined.withColumn("_each", each.cast("int")).where("_each > 0").withColumn("_c", F.explode(F.expr("sequence(1, _each)"))).select(*docs.columns)
+    times = chosen.groupBy(F.col("doc_id").alias("_mix_key")).agg(F.count("*").alias("_mix_rows"))
+    numbered = docs.withColumn("_mix_key", key).withColumn("_mix_i", F.row_number().over(Window.partitionBy("_mix_key").orderBy("doc_id")))
+    share = F.count("*").over(Window.partitionBy("_mix_key"))
+    joined = numbered.withColumn("_mix_n", share).join(times, "_mix_key")
+    each = F.floor(F.col("_mix_rows") / F.col("_mix_n")) + (F.col("_mix_i") <= F.col("_mix_rows") % F.col("_mix_n")).cast("int")
+    return joined.withColumn("_mix_each", each.cast("int")).where("_mix_each > 0").withColumn("_mix_c", F.explode(F.expr("sequence(1, _mix_each)"))).select(*docs.columns)

@@ -155,9 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = S
     return fit(positive, unlabelled, toxic / n if prior is None else prior)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs``, and the score of each whole text (0 to 1)."""
+def score(docs: DataFrame, model: Model, keep: list[str], out: str = "score") -> DataFrame:
+    """Columns ``keep`` of ``docs``, and the score of each whole text (0 to 1) as ``out``."""
     small_batches(docs.sparkSession)
+    reads = "text" if "text" in keep else "_scored_text"
     shared = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(model.weights), model.weights[model.weights != 0], model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +166,8 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         weights = np.zeros(1 << BITS)
         weights[at] = values
         own = Model(weights, bias)
-        for part, raw in chunks(batches, "_scored_text"):
-            yield pa.record_batch([*(part.column(n) for n in keep), pa.array(own.scores(raw))], names=[*keep, "score"])
+        for part, raw in chunks(batches, reads):
+            yield pa.record_batch([*(part.column(n) for n in keep), pa.array(own.scores(raw))], names=[*keep, out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").alias("_scored_text")).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*keep, *([] if "text" in keep else [F.col("text").alias(reads)])).mapInArrow(run, f"{kinds}, {out} double")
