@@ -117,18 +117,35 @@ def frequent(docs: DataFrame, width: int, room: int = 3_000_000) -> tuple[np.nda
     return keys[order], most["n"].to_numpy(np.int64)[order]
 
 
-def sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of each document."""
+BITMAP = 26
+
+
+def sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the documents whose ids are in ``ids(doc_id)``, and of few others.
+
+    A bitmap of hashed ids (at most ``1 << BITMAP`` bits) tells tasks which texts to
+    read, so texts are never shuffled.
+    """
+    bits = min(BITMAP, max(10, (8 * ids.count()).bit_length()))
+    place = F.xxhash64("doc_id").bitwiseAND((1 << bits) - 1)
+    words_ = ids.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("b")).toPandas()
+    bitmap = np.zeros(max(1, 1 << bits >> 6), np.int64)
+    bitmap[words_["w"].to_numpy(np.int64)] = words_["b"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw in chunks(batches, "text"):
-            h, at = shingles(raw, width)
-            each = [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            bounds = np.cumsum([0] + [len(x) for x in each]).astype(np.int32)
-            flat = np.concatenate(each).view(np.int64)
-            yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=["doc_id", "shingles"])
+        bitmap = shared.value
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            asked = bitmap[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1) == 1
+            for part, raw in chunks(iter([batch.filter(pa.array(asked))]), "text"):
+                hashes, at = shingles(raw, width)
+                each = [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                bounds = np.cumsum([0] + [len(x) for x in each]).astype(np.int32)
+                flat = np.concatenate(each).view(np.int64)
+                yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text", place.alias("h")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -202,14 +219,23 @@ def light_links(classes: DataFrame, percent: int) -> DataFrame:
     return subsets.join(meet, "key").where("node <> u").select("u", F.col("node").alias("v")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs(u, v)`` that link, by their whole sets."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs(u, v)`` that link, by their whole sets.
+
+    First only the listed shingles are compared: two sets share at most those their
+    lists share and all unlisted ones of one of them. What may still link is
+    compared in full.
+    """
+    side = lambda c, h, n: classes.select(F.col("doc_id").alias(c), F.col("head").alias(h), F.col("n").alias(n))
+    most = F.size(F.array_intersect("hu", "hv")) + F.greatest(F.col("nu") - F.size("hu"), F.col("nv") - F.size("hv"))
+    least = (100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))
+    pairs = materialize(pairs.join(side("u", "hu", "nu"), "u").join(side("v", "hv", "nv"), "v").where(least).select("u", "v").distinct())
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    own = materialize(sets(docs.join(ids, "doc_id", "left_semi"), width))
+    own = materialize(sets(docs, ids, width))
     joined = pairs.join(own.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(own.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
     both = F.size(F.array_intersect("x", "y"))
     links = materialize(joined.where((100 + percent) * both >= percent * (F.size("x") + F.size("y"))).select("u", "v").distinct())
-    discard(own)
+    discard(own, pairs)
     return links
 
 
@@ -218,25 +244,28 @@ def close(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
-def heavy_links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v) links that tie all linked sets of ``classes(doc_id, n, head)`` together."""
+def lists(classes: DataFrame, percent: int) -> DataFrame:
+    """(list, node, n, band): the inverted lists with at least two entries."""
     entries = classes.select(F.explode("head").alias("list"), F.col("doc_id").alias("node"), "n", F.floor(F.log("n") / np.log(100 / percent)).alias("band"))
     shared = entries.groupBy("list").agg(F.count("*").alias("_size")).where("_size > 1").select("list")
-    entries = materialize(entries.join(shared, "list").distinct())
+    return entries.join(shared, "list").distinct()
+
+
+def stars(entries: DataFrame) -> DataFrame:
+    """(u, v): each entry with the lowest entry of about its size of most of its lists."""
     lowest = entries.groupBy("list", "band").agg(F.min("node").alias("u"))
-    stars = materialize(entries.join(lowest, ["list", "band"]).where("node <> u").select("u", F.col("node").alias("v")).distinct())
-    links = verified(stars, docs, width, percent)
-    tied = components(links)
+    often = entries.join(lowest, ["list", "band"]).where("node <> u").groupBy("node", "u").agg(F.count("*").alias("c"))
+    return often.groupBy("node").agg(F.max_by("u", F.struct("c", -F.col("u"))).alias("u")).select("u", F.col("node").alias("v"))
+
+
+def across(entries: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
+    """(u, v) pairs of a list that lie in different components, u < v."""
     marked = entries.join(tied, "node", "left").select("list", "node", "n", F.coalesce("component", "node").alias("component"))
     marked = materialize(marked)
     main = marked.groupBy("list", "component").agg(F.count("*").alias("c")).groupBy("list").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"))
     outside = marked.join(main, "list").where("component <> main").select("list", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), "main")
     met = outside.join(marked, "list").where(close("nu", "n", percent) & (F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("node"))))
-    rest = met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-    rest = materialize(rest.join(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
-    more = verified(rest, docs, width, percent)
-    discard(entries, marked, stars, rest)
-    return links.union(more)
+    return met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,8 +281,11 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     own = materialize(own.select("doc_id", "n", "head", "items"))
     histogram = {r["n"]: r["c"] for r in own.where(F.col("n") <= LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most LIGHT rows
     x = boundary(histogram, percent)
-    light = materialize(light_links(own.where(F.col("n") <= x), percent))
-    links = verified(light, named, width, percent).union(heavy_links(own.where(100 * F.col("n") >= percent * (x + 1)), named, width, percent))
+    light = light_links(own.where(F.col("n") <= x), percent)
+    entries = materialize(lists(own.where(100 * F.col("n") >= percent * (x + 1)), percent))
+    links = verified(materialize(light.union(stars(entries)).distinct()), own, named, width, percent)
+    more = verified(across(entries, components(links), percent), own, named, width, percent)
+    links = links.union(more)
     tied = components(links).select(F.col("node").alias("class_id"), "component")
     found = signed.select("doc_id", *keys).join(classes, keys, "left").join(tied, "class_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
