@@ -12,7 +12,8 @@ ones last, two linked sets share one of their first ``first(n)`` shingles, so on
 those have lists. The lists are scanned in two rounds: first every entry is compared
 with the list's lowest entry of about its size, which ties groups of copies
 together; then entries outside the list's main component are compared with the
-entries of other components. All comparisons count the whole sets. The boundary
+entries of other components. Entries carry a bitmap that bounds how much two sets
+share, so few pairs leave a list; those are decided by their whole sets. The boundary
 takes the least cost over the histogram of sizes.
 
 Sets that are equal are one class with its smallest id as representative, so
@@ -28,12 +29,13 @@ table gives an empty result; other columns are ignored. Shingles are compared by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, discard, materialize, mix, small_batches, words
@@ -42,6 +44,7 @@ from .lm import tally
 
 FREQUENT = 20
 LIGHT = 40
+PARITY = 512
 SCAN_COST = 8
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _MASK = (1 << 64) - 1
@@ -149,8 +152,9 @@ def sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, head, items): size, two sums that stand for the set, the
-    shingles that have lists, and all shingles of a set of at most ``LIGHT``."""
+    """(doc_id, n, s1, s2, head, items, parity): size, two sums that stand for the set,
+    the shingles that have lists, all shingles of a set of at most ``LIGHT``, and a
+    bitmap in which each shingle has turned one bit."""
     keys, counts = frequent(docs, width)
     shared = docs.sparkSession.sparkContext.broadcast((keys, counts))
 
@@ -158,26 +162,28 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
         keys, counts = shared.value
         for part, raw in chunks(batches, "text"):
             h, at = shingles(raw, width)
-            n, s1, s2, heads, items = [], [], [], [], []
+            n, s1, s2, heads, items, parity = [], [], [], [], [], []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 own = np.unique(h[a:b])
                 n.append(len(own))
                 s1.append(int(mix(own).sum()))
                 s2.append(int(mix(own ^ _STEP).sum()))
                 items.append(own if len(own) <= LIGHT else own[:0])
+                turned = np.bincount((own & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+                parity.append(np.packbits(turned.astype(np.uint8)).view(np.uint64))
                 if len(keys) and len(own):
                     where = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                     weight = np.where(keys[where] == own, counts[where], 0)
                     own = own[np.lexsort((own, weight))]
                 heads.append(own[: first(len(own), percent)] if len(own) else own)
             lists = []
-            for x in (heads, items):
+            for x in (heads, items, parity):
                 bounds = np.cumsum([0] + [len(y) for y in x]).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(x).view(np.int64))))
             sums = [pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)]
-            yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), *sums, *lists], names=["doc_id", "n", "s1", "s2", "head", "items"])
+            yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), *sums, *lists], names=["doc_id", "n", "s1", "s2", "head", "items", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, head array<long>, items array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, head array<long>, items array<long>, parity array<long>")
 
 
 def pairs_of_sizes(n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -239,32 +245,39 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return links
 
 
-def close(a: str, b: str, percent: int):
-    """Whether sets of sizes a and b may link."""
-    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+def may_link(a: str, b: str, x: str, y: str, percent: int) -> Column:
+    """Whether sets of sizes a and b with bitmaps x and y may link.
+
+    The bitmaps differ in at most as many bits as the sets differ in shingles.
+    """
+    both = F.col(a) + F.col(b)
+    differ = reduce(lambda p, q: p + q, (F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITY // 64)))
+    fits = (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+    return fits & (differ <= both - 2 * F.ceil(percent * both / (100 + percent)))
 
 
 def lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(list, node, n, band): the inverted lists with at least two entries."""
-    entries = classes.select(F.explode("head").alias("list"), F.col("doc_id").alias("node"), "n", F.floor(F.log("n") / np.log(100 / percent)).alias("band"))
+    """(list, node, n, parity, band): the inverted lists with at least two entries."""
+    entries = classes.select(F.explode("head").alias("list"), F.col("doc_id").alias("node"), "n", "parity", F.floor(F.log("n") / np.log(100 / percent)).alias("band"))
     shared = entries.groupBy("list").agg(F.count("*").alias("_size")).where("_size > 1").select("list")
-    return entries.join(shared, "list").distinct()
+    return entries.join(shared, "list").dropDuplicates(["list", "node", "n"])
 
 
-def stars(entries: DataFrame) -> DataFrame:
+def stars(entries: DataFrame, percent: int) -> DataFrame:
     """(u, v): each entry with the lowest entry of about its size of most of its lists."""
-    lowest = entries.groupBy("list", "band").agg(F.min("node").alias("u"))
-    often = entries.join(lowest, ["list", "band"]).where("node <> u").groupBy("node", "u").agg(F.count("*").alias("c"))
+    lowest = entries.groupBy("list", "band").agg(F.min(F.struct("node", "n", "parity")).alias("low"))
+    lowest = lowest.select("list", "band", F.col("low.node").alias("u"), F.col("low.n").alias("nu"), F.col("low.parity").alias("pu"))
+    often = entries.join(lowest, ["list", "band"]).where((F.col("node") != F.col("u")) & may_link("nu", "n", "pu", "parity", percent)).groupBy("node", "u").agg(F.count("*").alias("c"))
     return often.groupBy("node").agg(F.max_by("u", F.struct("c", -F.col("u"))).alias("u")).select("u", F.col("node").alias("v"))
 
 
 def across(entries: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
     """(u, v) pairs of a list that lie in different components, u < v."""
-    marked = entries.join(tied, "node", "left").select("list", "node", "n", F.coalesce("component", "node").alias("component"))
+    marked = entries.join(tied, "node", "left").select("list", "node", "n", "parity", F.coalesce("component", "node").alias("component"))
     marked = materialize(marked)
     main = marked.groupBy("list", "component").agg(F.count("*").alias("c")).groupBy("list").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"))
-    outside = marked.join(main, "list").where("component <> main").select("list", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), "main")
-    met = outside.join(marked, "list").where(close("nu", "n", percent) & (F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("node"))))
+    outside = marked.join(main, "list").where("component <> main").select("list", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("parity").alias("pu"), F.col("component").alias("cu"), "main")
+    met = outside.join(marked, "list").where(may_link("nu", "n", "pu", "parity", percent) & (F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("node"))))
     return met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
 
 
@@ -278,12 +291,12 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     classes = materialize(classes)
     keys = ["n", "s1", "s2"]
     own = signed.where("n > 0").join(classes, keys).where("doc_id = class_id")
-    own = materialize(own.select("doc_id", "n", "head", "items"))
+    own = materialize(own.select("doc_id", "n", "head", "items", "parity"))
     histogram = {r["n"]: r["c"] for r in own.where(F.col("n") <= LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most LIGHT rows
     x = boundary(histogram, percent)
     light = light_links(own.where(F.col("n") <= x), percent)
     entries = materialize(lists(own.where(100 * F.col("n") >= percent * (x + 1)), percent))
-    links = verified(materialize(light.union(stars(entries)).distinct()), own, named, width, percent)
+    links = verified(materialize(light.union(stars(entries, percent)).distinct()), own, named, width, percent)
     more = verified(across(entries, components(links), percent), own, named, width, percent)
     links = links.union(more)
     tied = components(links).select(F.col("node").alias("class_id"), "component")
