@@ -45,6 +45,7 @@ from .lm import tally
 FREQUENT = 20
 LIGHT = 40
 PARITY = 512
+FINE = 8192
 SCAN_COST = 8
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _MASK = (1 << 64) - 1
@@ -151,10 +152,17 @@ def sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text", place.alias("h")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def turned_bits(own: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits, as longs, in which each shingle has turned one bit."""
+    bits = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, head, items, parity): size, two sums that stand for the set,
-    the shingles that have lists, all shingles of a set of at most ``LIGHT``, and a
-    bitmap in which each shingle has turned one bit."""
+    """(doc_id, n, s1, s2, head, items, parity, fine): size, two sums that stand for the set,
+    the shingles that have lists, all shingles of a set of at most ``LIGHT``, and two
+    bitmaps in which each shingle has turned one bit (the fine one for sets above
+    ``PARITY`` only)."""
     keys, counts = frequent(docs, width)
     shared = docs.sparkSession.sparkContext.broadcast((keys, counts))
 
@@ -162,28 +170,28 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
         keys, counts = shared.value
         for part, raw in chunks(batches, "text"):
             h, at = shingles(raw, width)
-            n, s1, s2, heads, items, parity = [], [], [], [], [], []
+            n, s1, s2, heads, items, parity, fine = [], [], [], [], [], [], []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 own = np.unique(h[a:b])
                 n.append(len(own))
                 s1.append(int(mix(own).sum()))
                 s2.append(int(mix(own ^ _STEP).sum()))
                 items.append(own if len(own) <= LIGHT else own[:0])
-                turned = np.bincount((own & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
-                parity.append(np.packbits(turned.astype(np.uint8)).view(np.uint64))
+                parity.append(turned_bits(own, PARITY))
+                fine.append(turned_bits(own, FINE) if len(own) > PARITY else own[:0])
                 if len(keys) and len(own):
                     where = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                     weight = np.where(keys[where] == own, counts[where], 0)
                     own = own[np.lexsort((own, weight))]
                 heads.append(own[: first(len(own), percent)] if len(own) else own)
             lists = []
-            for x in (heads, items, parity):
+            for x in (heads, items, parity, fine):
                 bounds = np.cumsum([0] + [len(y) for y in x]).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(x).view(np.int64))))
             sums = [pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)]
-            yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), *sums, *lists], names=["doc_id", "n", "s1", "s2", "head", "items", "parity"])
+            yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), *sums, *lists], names=["doc_id", "n", "s1", "s2", "head", "items", "parity", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, head array<long>, items array<long>, parity array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, head array<long>, items array<long>, parity array<long>, fine array<long>")
 
 
 def pairs_of_sizes(n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -228,14 +236,19 @@ def light_links(classes: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs(u, v)`` that link, by their whole sets.
 
-    First only the listed shingles are compared: two sets share at most those their
-    lists share and all unlisted ones of one of them. What may still link is
-    compared in full.
+    First only the listed shingles and the fine bitmaps are compared: two sets share
+    at most the shingles that both list and all that one of them does not list, and
+    they differ at least in as many shingles as their bitmaps in bits. What may still
+    link is compared in full.
     """
-    side = lambda c, h, n: classes.select(F.col("doc_id").alias(c), F.col("head").alias(h), F.col("n").alias(n))
+    side = lambda c, h, n, b: classes.select(F.col("doc_id").alias(c), F.col("head").alias(h), F.col("n").alias(n), F.col("fine").alias(b))
     most = F.size(F.array_intersect("hu", "hv")) + F.greatest(F.col("nu") - F.size("hu"), F.col("nv") - F.size("hv"))
     least = (100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))
-    pairs = materialize(pairs.join(side("u", "hu", "nu"), "u").join(side("v", "hv", "nv"), "v").where(least).select("u", "v").distinct())
+    both = F.col("nu") + F.col("nv")
+    differ = F.aggregate(F.zip_with("bu", "bv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    alike = (F.size("bu") == 0) | (F.size("bv") == 0) | (differ <= both - 2 * needed("nu", "nv", percent))
+    met = pairs.join(side("u", "hu", "nu", "bu"), "u").join(side("v", "hv", "nv", "bv"), "v")
+    pairs = materialize(met.where(least & alike).select("u", "v").distinct())
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
     own = materialize(sets(docs, ids, width))
     joined = pairs.join(own.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(own.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
@@ -245,40 +258,54 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return links
 
 
-def may_link(a: str, b: str, x: str, y: str, percent: int) -> Column:
-    """Whether sets of sizes a and b with bitmaps x and y may link.
+def needed(a: str, b: str, percent: int) -> Column:
+    """``need`` of two columns."""
+    return F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent))
+
 
-    The bitmaps differ in at most as many bits as the sets differ in shingles.
+def may_link(u: str, v: str, percent: int) -> Column:
+    """Whether the sets of two entries of a list may link, if no list before had both.
+
+    The columns are {u}_n, {u}_at (the place of the list's shingle in the set) and
+    {u}_parity. Two sets that meet first at places i and j share at most what follows,
+    and their bitmaps differ in at most as many bits as they differ in shingles.
     """
-    both = F.col(a) + F.col(b)
-    differ = reduce(lambda p, q: p + q, (F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITY // 64)))
-    fits = (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
-    return fits & (differ <= both - 2 * F.ceil(percent * both / (100 + percent)))
+    a, b = F.col(f"{u}_n"), F.col(f"{v}_n")
+    least = needed(f"{u}_n", f"{v}_n", percent)
+    differ = reduce(lambda p, q: p + q, (F.bit_count(F.get(f"{u}_parity", F.lit(i)).bitwiseXOR(F.get(f"{v}_parity", F.lit(i)))) for i in range(PARITY // 64)))
+    return (F.col(f"{u}_at") <= a - least) & (F.col(f"{v}_at") <= b - least) & (differ <= a + b - 2 * least)
+
+
+def side(entries: DataFrame, name: str, *more: str) -> DataFrame:
+    """The columns of entries with names for one side of a join."""
+    return entries.select("list", *more, *(F.col(c).alias(f"{name}_{c}" if c != "node" else name) for c in ("node", "n", "at", "parity")))
 
 
 def lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(list, node, n, parity, band): the inverted lists with at least two entries."""
-    entries = classes.select(F.explode("head").alias("list"), F.col("doc_id").alias("node"), "n", "parity", F.floor(F.log("n") / np.log(100 / percent)).alias("band"))
+    """(list, node, n, at, parity, band): the inverted lists with at least two entries."""
+    band = F.floor(F.log("n") / np.log(100 / percent)).alias("band")
+    entries = classes.select(F.posexplode("head").alias("at", "list"), F.col("doc_id").alias("node"), "n", "parity", band)
     shared = entries.groupBy("list").agg(F.count("*").alias("_size")).where("_size > 1").select("list")
     return entries.join(shared, "list").dropDuplicates(["list", "node", "n"])
 
 
 def stars(entries: DataFrame, percent: int) -> DataFrame:
     """(u, v): each entry with the lowest entry of about its size of most of its lists."""
-    lowest = entries.groupBy("list", "band").agg(F.min(F.struct("node", "n", "parity")).alias("low"))
-    lowest = lowest.select("list", "band", F.col("low.node").alias("u"), F.col("low.n").alias("nu"), F.col("low.parity").alias("pu"))
-    often = entries.join(lowest, ["list", "band"]).where((F.col("node") != F.col("u")) & may_link("nu", "n", "pu", "parity", percent)).groupBy("node", "u").agg(F.count("*").alias("c"))
-    return often.groupBy("node").agg(F.max_by("u", F.struct("c", -F.col("u"))).alias("u")).select("u", F.col("node").alias("v"))
+    lowest = entries.groupBy("list", "band").agg(F.min(F.struct("node", "n", "at", "parity")).alias("low")).select("list", "band", "low.*")
+    met = side(entries, "v", "band").join(side(lowest, "u", "band"), ["list", "band"]).where((F.col("u") != F.col("v")) & may_link("u", "v", percent))
+    often = met.groupBy("v", "u").agg(F.count("*").alias("c"))
+    return often.groupBy("v").agg(F.max_by("u", F.struct("c", -F.col("u"))).alias("u")).select("u", "v")
 
 
 def across(entries: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
     """(u, v) pairs of a list that lie in different components, u < v."""
-    marked = entries.join(tied, "node", "left").select("list", "node", "n", "parity", F.coalesce("component", "node").alias("component"))
+    marked = entries.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
     marked = materialize(marked)
     main = marked.groupBy("list", "component").agg(F.count("*").alias("c")).groupBy("list").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"))
-    outside = marked.join(main, "list").where("component <> main").select("list", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("parity").alias("pu"), F.col("component").alias("cu"), "main")
-    met = outside.join(marked, "list").where(may_link("nu", "n", "pu", "parity", percent) & (F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("node"))))
-    return met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+    outside = side(marked.join(main, "list").where("component <> main").withColumnRenamed("component", "cu"), "u", "cu", "main")
+    apart = (F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("v")))
+    met = outside.join(side(marked, "v", "component"), "list").where(apart & may_link("u", "v", percent))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,7 +318,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     classes = materialize(classes)
     keys = ["n", "s1", "s2"]
     own = signed.where("n > 0").join(classes, keys).where("doc_id = class_id")
-    own = materialize(own.select("doc_id", "n", "head", "items", "parity"))
+    own = materialize(own.select("doc_id", "n", "head", "items", "parity", "fine"))
     histogram = {r["n"]: r["c"] for r in own.where(F.col("n") <= LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most LIGHT rows
     x = boundary(histogram, percent)
     light = light_links(own.where(F.col("n") <= x), percent)
