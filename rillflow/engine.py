@@ -217,9 +217,12 @@ class Engine:
         source = self._source_of(tables)
 
         def step(batch: Batch) -> None:
+            session = self.spark
             for t in set(tables):
-                batch.tables[t].createOrReplaceTempView(t)
-            batch.tables[s.name] = self.spark.sql(s.sql)
+                rows = batch.tables[t]
+                rows.createOrReplaceTempView(t)
+                session = rows.sparkSession  # a live batch has a session of its own
+            batch.tables[s.name] = session.sql(s.sql)
 
         self._add(source, s, step, s.name)
         return "CREATE STREAM"
@@ -352,13 +355,13 @@ class Engine:
 
     # ------------------------------------------------------------ processing
 
-    def _pass(self, source: Source, rows: DataFrame, last: bool) -> None:
+    def _pass(self, source: Source, rows: DataFrame, last: bool, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
         batch = Batch(_Tables({source.name: rows}), last)
         for _, step in source.steps:
             step(batch)
         for name, df in batch.tables.items():
             if name != source.name:
-                self.results.setdefault(name, []).append(df)
+                self.results.setdefault(name, []).append(keep(df))
 
     def start(self, s: p.StartProcessing) -> str:
         source = self.sources.get(s.source)
@@ -392,7 +395,7 @@ class Engine:
             rows = uris.rows(lines, source.schema, uris.ARRIVAL)
             if largest:
                 rows = rows.where(F.col(self.stamp) > largest)
-            self._pass(source, rows, last=False)
+            self._pass(source, rows, last=False, keep=models._kept)
 
         self.live_began = time.time()
         writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", f"/tmp/checkpoints/rillflow-{uuid.uuid4().hex}")
