@@ -95,7 +95,7 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     sources = materialize(rows.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens")))
     mixture = solve(sources, entropy, repeats, budget)
     most = sources.agg(F.max("documents")).first()[0] or 1
-    buckets = max(16, -(-most // 20_000))
+    buckets = max(64, -(-most // 5_000))
     blocks = max(1, -(-int(mixture.budget) // block_tokens))
 
     whole = F.floor(F.col("budget") / F.col("tokens") + 1e-9).cast("int")

@@ -200,7 +200,7 @@ def segments(made: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndar
     return {n: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for n, v in runs.items()}  # type: ignore[misc]
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], most: int, room: int = 50_000) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: list[str], most: int, room: int = 2_000) -> DataFrame:
     """Column ``rank``: 0, 1, 2, ... within ``key``, without one task for a hot key.
 
     Rows of a key are dealt to buckets by a hash of ``order``; counts of buckets
