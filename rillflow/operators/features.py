@@ -35,8 +35,8 @@ def _columns(rule: Rule, left: list[str], every: list[str]) -> list[list[str]]:
     return [[c] for c in left if test(c)]
 
 
-def extract(df: DataFrame, rules: list[Rule], key: str | None, call: Callable[[str, list[Column]], Column] | None = None) -> Column:
-    """The datum of each row, as a column.
+def with_datum(df: DataFrame, rules: list[Rule], key: str | None, call: Callable[[str, list[Column]], Column] | None = None, name: str = "_datum") -> DataFrame:
+    """Add the datum of each row as a column ``name``.
 
     ``call(function, columns)`` gives a user function's result as map<string,string>
     of JSON values, with the empty key for a bare value.
@@ -53,16 +53,17 @@ def extract(df: DataFrame, rules: list[Rule], key: str | None, call: Callable[[s
             if function in ("id", *NGRAM):
                 if len(args) != 1:
                     raise BadFeature(f"function '{function}' takes one column")
-                name = args[0]
-                label = name + NGRAM.get(function, "")
-                kind = kinds[name]
+                own = args[0]
+                label = own + NGRAM.get(function, "")
+                kind = kinds[own]
                 if isinstance(kind, T.StringType):
-                    strings.append(F.struct(F.lit(label).alias("key"), F.col(f"`{name}`").alias("value")))
+                    strings.append(F.struct(F.lit(label).alias("key"), F.col(f"`{own}`").alias("value")))
                 elif isinstance(kind, T.NumericType):
-                    numbers.append(F.struct(F.lit(label).alias("key"), F.col(f"`{name}`").cast("double").alias("value")))
+                    numbers.append(F.struct(F.lit(label).alias("key"), F.col(f"`{own}`").cast("double").alias("value")))
             else:
                 prefix = f"{function}#{','.join(args)}"
-                made.append((prefix, call(function, [F.col(f"`{a}`") for a in args])))
+                df = df.withColumn(f"_call{len(made)}", call(function, [F.col(f"`{a}`") for a in args]))
+                made.append((prefix, F.col(f"_call{len(made)}")))
             left = [c for c in left if c not in args]
     none = lambda kind: F.array().cast(f"array<struct<key: string, value: {kind}>>")
     texts = F.filter(F.array(*strings), lambda e: e["value"].isNotNull()) if strings else none("string")
@@ -75,7 +76,8 @@ def extract(df: DataFrame, rules: list[Rule], key: str | None, call: Callable[[s
         texts = F.concat(texts, F.transform(F.filter(named, quoted), lambda e: F.struct(e["key"].alias("key"), F.get_json_object(F.concat(F.lit('{"v":'), e["value"], F.lit("}")), "$.v").alias("value"))))
         values = F.concat(values, F.transform(F.filter(named, lambda e: ~quoted(e)), lambda e: F.struct(e["key"].alias("key"), e["value"].cast("double").alias("value"))))
     merge = lambda a, kind: F.aggregate(a, F.create_map().cast(f"map<string,{kind}>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.map_from_entries(F.array(e))))
-    return F.struct(merge(texts, "string").alias("string_values"), merge(values, "double").alias("num_values"))
+    datum = F.struct(merge(texts, "string").alias("string_values"), merge(values, "double").alias("num_values"))
+    return df.withColumn(name, datum).drop(*(f"_call{i}" for i in range(len(made))))
 
 
 def feature_udf(script) -> Callable[..., Column]:
@@ -95,7 +97,7 @@ def feature_udf(script) -> Callable[..., Column]:
             out.append({k: json.dumps(v) for k, v in found.items() if isinstance(v, (str, int, float)) and not isinstance(v, bool)})
         return pd.Series(out)
 
-    return run
+    return run.asNondeterministic()  # so that no expression takes it in
 
 
 def vector(datum: Column) -> Column:

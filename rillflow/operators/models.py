@@ -8,12 +8,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .features import DATUM, extract, vector
+from .features import DATUM, vector, with_datum
 
 UPDATES = {"CLASSIFIER": ("train",), "ANOMALY": ("add",), "RECOMMENDER": ("update_row",)}
 ANALYSES = {"CLASSIFIER": ("classify",), "ANOMALY": ("calc_score",), "RECOMMENDER": ("complete_row_from_id", "complete_row_from_datum")}
@@ -30,8 +31,9 @@ class Model:
             raise TypeError
         self.parameter = self.config.get("parameter") or {}
 
-    def datum(self, df: DataFrame) -> Column:
-        return extract(df, self.rules, self.key, self.call)
+    def read(self, df: DataFrame) -> DataFrame:
+        """``df`` with the datum of each row as ``_datum``, and its vector as ``_x``."""
+        return with_datum(df, self.rules, self.key, self.call).withColumn("_x", vector(F.col("_datum")))
 
 
 class Classifier(Model):
@@ -70,7 +72,7 @@ class Classifier(Model):
                 state[rival, f] = (w - alpha * c * v, c - beta * c * c * v * v)
 
     def update(self, df: DataFrame, order: list[str]) -> None:
-        rows = df.where(F.col(self.key).isNotNull()).select(F.col(self.key).cast("string").alias("label"), vector(self.datum(df)).alias("x"), *order)
+        rows = self.read(df.where(F.col(self.key).isNotNull())).select(F.col(self.key).cast("string").alias("label"), F.col("_x").alias("x"), *order)
         rows = rows.coalesce(1) if self.parts == 1 else rows.repartitionByRange(self.parts, *order)
         rows = rows.sortWithinPartitions(*order)
         r = float(self.parameter.get("regularization_weight", 1.0))
@@ -104,11 +106,57 @@ class Classifier(Model):
                 yield pa.record_batch([*(batch.column(n) for n in names), pa.array(scores, kind)], names=[*names, column])
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return df.withColumn("_x", vector(self.datum(df))).mapInArrow(classify, f"{kinds}, `{column}` array<struct<label: string, score: double>>")
+        return self.read(df).drop("_datum").mapInArrow(classify, f"{kinds}, `{column}` array<struct<label: string, score: double>>")
 
 
-def _explode(df: DataFrame, id_col: str, x: Column) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.explode(x).alias("f", "v"))
+BLOCK = 1024
+
+
+def _matrix(xs: pd.Series, place: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(xs), len(place)))
+    for i, x in enumerate(xs):
+        for f, v in dict(x).items():
+            out[i, place[f]] = v
+    return out
+
+
+def nearest(asked: DataFrame, stored: DataFrame, k: int, measure: str) -> DataFrame:
+    """(q, id, score): the k best of ``stored(id, x)`` for each of ``asked(q, x)``.
+
+    ``measure`` "cosine" wants large scores, "distance" small ones; a row is no
+    neighbour of itself by distance. Both sides are cut into blocks; a task compares
+    two blocks and gives the k best of each asked row, and those are merged.
+    """
+    na, nb = (max(1, -(-df.count() // BLOCK)) for df in (asked, stored))
+    by = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(F.col("q").alias("q"), F.col("x").alias("qx"), by("q", na).alias("a")).withColumn("b", every(nb))
+    right = stored.select(F.col("id").alias("id"), F.col("x").alias("rx"), by("id", nb).alias("b")).withColumn("a", every(na))
+    kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema, *stored.schema]}
+    sign = 1.0 if measure == "distance" else -1.0
+
+    def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"q": [], "id": [], "score": []})
+        place = {f: i for i, f in enumerate(sorted({f for x in [*q["qx"], *r["rx"]] for f in dict(x)}))}
+        x, y = _matrix(q["qx"], place), _matrix(r["rx"], place)
+        nx, ny = (np.sqrt((m * m).sum(axis=1)) for m in (x, y))
+        if measure == "cosine":
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = (x @ y.T) / nx[:, None] / ny[None, :]
+            score[~np.isfinite(score)] = -np.inf
+            score[(x @ y.T) == 0] = -np.inf
+        else:
+            score = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)) if len(place) <= 64 else np.sqrt(np.maximum(nx[:, None] ** 2 + ny[None, :] ** 2 - 2 * x @ y.T, 0))
+            score[q["q"].to_numpy()[:, None] == r["id"].to_numpy()[None, :]] = np.inf
+        ids = r["id"].to_numpy()
+        order = [np.lexsort((ids.astype(str), sign * row))[:k] for row in score]
+        out = [(q["q"].iloc[i], ids[j], float(score[i, j])) for i, o in enumerate(order) for j in o if np.isfinite(score[i, j])]
+        return pd.DataFrame(out, columns=["q", "id", "score"])
+
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(compare, f"q {kinds['q']}, id {kinds['id']}, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score") * F.lit(sign), F.col("id").cast("string")))
+    return met.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
 class Recommender(Model):
@@ -120,7 +168,7 @@ class Recommender(Model):
 
     def update(self, df: DataFrame, order: list[str]) -> None:
         """Insert or replace rows by id; null ids are skipped."""
-        new = df.where(F.col(self.key).isNotNull()).select(F.col(self.key).cast("string").alias("id"), self.datum(df).alias("datum"), F.struct(*order).alias("_o"))
+        new = self.read(df.where(F.col(self.key).isNotNull())).select(F.col(self.key).cast("string").alias("id"), F.col("_datum").alias("datum"), F.struct(*order).alias("_o"))
         new = new.groupBy("id").agg(F.max_by("datum", "_o").alias("datum"))
         old = self.rows.join(new, "id", "left_anti").unionByName(new) if self.rows is not None else new
         self.rows = _kept(old)
@@ -131,14 +179,10 @@ class Recommender(Model):
         if method == "complete_row_from_id":
             wanted = asked.select("_q", F.coalesce(F.col(self.key).cast("string"), F.lit("NULL")).alias("id")).join(self._stored(df.sparkSession), "id").select("_q", "datum")
         else:
-            wanted = asked.select("_q", self.datum(asked).alias("datum"))
+            wanted = self.read(asked).select("_q", F.col("_datum").alias("datum"))
         mine = self._stored(df.sparkSession)
-        q, r = _explode(wanted, "_q", vector(F.col("datum"))), _explode(mine, "id", vector(F.col("datum")))
-        norm = lambda t: t.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-        dots = q.select(F.col("id").alias("_q"), "f", F.col("v").alias("qv")).join(r, "f").groupBy("_q", "id").agg(F.sum(F.col("qv") * F.col("v")).alias("dot"))
-        near = dots.join(norm(r), "id").join(norm(q).select(F.col("id").alias("_q"), F.col("norm").alias("qn")), "_q")
-        rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc(F.col("dot") / F.col("norm") / F.col("qn")), "id"))
-        near = near.withColumn("_r", rank).where(F.col("_r") <= NEAREST).select("_q", "id")
+        near = nearest(wanted.select(F.col("_q").alias("q"), vector(F.col("datum")).alias("x")), mine.select("id", vector(F.col("datum")).alias("x")), NEAREST, "cosine")
+        near = near.select(F.col("q").alias("_q"), "id")
         numbers = near.join(mine, "id").select("_q", F.explode("datum.num_values").alias("k", "v")).groupBy("_q", "k").agg(F.avg("v").alias("v"))
         full = numbers.groupBy("_q").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("n"))
         texts = wanted.select("_q", F.col("datum.string_values").alias("s"))
@@ -159,33 +203,23 @@ class Anomaly(Model):
         self.k = int(self.parameter.get("nearest_neighbor_num", 10))
 
     def update(self, df: DataFrame, order: list[str]) -> None:
-        new = df.select(F.expr("uuid()").alias("id"), vector(self.datum(df)).alias("x"))
+        new = self.read(df).select(F.expr("uuid()").alias("id"), F.col("_x").alias("x"))
         self.rows = _kept(self.rows.unionByName(new) if self.rows is not None else new)
 
-    def _near(self, asked: DataFrame, itself: bool) -> DataFrame:
-        """(q, id, d): the k nearest stored rows of each asked row.
-
-        |a - b|**2 comes from norms and the products of common features, so rows
-        meet only through features; rows without any in common are farther by norm.
-        """
-        r = self.rows.select("id", "x")
-        norm = lambda x: F.aggregate(F.map_values(x), F.lit(0.0), lambda a, v: a + v * v)
-        pairs = asked.select("q", F.col("x").alias("qx")).crossJoin(F.broadcast(r)) if not itself else asked.select("q", F.col("x").alias("qx")).crossJoin(F.broadcast(r)).where("q <> id")
-        dot = F.aggregate(F.map_keys("qx"), F.lit(0.0), lambda a, k: a + F.coalesce(F.element_at("qx", k) * F.element_at("x", k), F.lit(0.0)))
-        d = F.sqrt(F.greatest(norm(F.col("qx")) + norm(F.col("x")) - 2 * dot, F.lit(0.0)))
-        rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
-        return pairs.select("q", "id", d.alias("d")).withColumn("_r", rank).where(F.col("_r") <= self.k).drop("_r")
+    def _near(self, asked: DataFrame) -> DataFrame:
+        """(q, id, d): the k nearest stored rows of each asked row, itself left out."""
+        return nearest(asked, self.rows.select("id", "x"), self.k, "distance").withColumnRenamed("score", "d")
 
     def analyze(self, df: DataFrame, method: str, column: str) -> DataFrame:
         if self.rows is None:
             return df.withColumn(column, F.lit(1.0))
         asked = _kept(df.withColumn("_q", F.monotonically_increasing_id()))
-        own = _kept(self._near(self.rows.select(F.col("id").alias("q"), "x"), True))
+        own = _kept(self._near(self.rows.select(F.col("id").alias("q"), "x")))
         reach = own.groupBy("q").agg(F.max("d").alias("reach")).select(F.col("q").alias("id"), "reach")
         density = lambda near: near.join(reach, "id").groupBy("q").agg((1 / F.avg(F.greatest("d", "reach"))).alias("lrd"))
         stored = _kept(density(own).select(F.col("q").alias("id"), F.col("lrd").alias("their")))
-        near = _kept(self._near(asked.select(F.col("_q").alias("q"), vector(self.datum(asked)).alias("x")), False))
-        score = near.join(stored, "id").groupBy("q").agg(F.avg("their").alias("their")).join(density(near), "q").select(F.col("q").alias("_q"), (F.col("their") / F.col("lrd")).alias("_s"))
+        near = _kept(self._near(self.read(asked).select(F.col("_q").cast("string").alias("q"), F.col("_x").alias("x"))))
+        score = near.join(stored, "id").groupBy("q").agg(F.avg("their").alias("their")).join(density(near), "q").select(F.col("q").cast("long").alias("_q"), (F.col("their") / F.col("lrd")).alias("_s"))
         sound = F.when(F.col("_s").isNull() | F.isnan("_s") | (F.abs("_s") == float("inf")), 1.0).otherwise(F.col("_s"))
         return asked.join(score, "_q", "left").withColumn(column, sound).drop("_q", "_s")
 

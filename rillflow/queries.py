@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .functions.scripts import Script
 from .operators import features, models
 from .sources import uris
 
@@ -225,7 +226,7 @@ add("log_stream", _log, "SELECT CAST(event_id AS VARCHAR) AS line FROM events WH
 def _features(rules: list[features.Rule], columns: list[str], name: str = "part") -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir, name).select(*columns)
-        return rows.select(F.col(columns[0]), F.explode(features.vector(features.extract(rows, rules, columns[0]))).alias("feature", "v"))
+        return features.with_datum(rows, rules, columns[0]).select(columns[0], F.explode(features.vector(F.col("_datum"))).alias("feature", "v"))
 
     return query
 
@@ -236,6 +237,17 @@ for _n, _kind in ((1, "unigram"), (2, "bigram")):
     add(f"feat_{_kind}", _features([("columns", ["p_brand"], _kind)], ["p_partkey", "p_brand"]), f"SELECT p_partkey, 'p_brand-{_kind}-conv$' || g || '@{_kind}' AS feature, CAST(count(*) AS DOUBLE) AS v FROM (SELECT p_partkey, substr(p_brand, CAST(unnest(range(1, length(p_brand) - {_n} + 2)) AS INT), {_n}) AS g FROM part) GROUP BY ALL")
 
 
+def _user_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature function that gives two features of two columns."""
+    script = Script("f", ("a", "b"), "return {'size': b * 2, 'brand': a + '!'}", "python")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    read = features.with_datum(rows, [("columns", ["p_brand", "p_size"], "f")], "p_partkey", lambda _, c: features.feature_udf(script)(*c), "d")
+    return read.select("p_partkey", F.col("d.string_values")["f#p_brand,p_size#brand"].alias("brand"), F.col("d.num_values")["f#p_brand,p_size#size"].alias("size"))
+
+
+add("feat_userfn", _user_feature, "SELECT p_partkey, p_brand || '!' AS brand, CAST(p_size * 2 AS DOUBLE) AS size FROM part")
+
+
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = run(engine(spark, sf_dir), """CREATE CLASSIFIER MODEL m (label: event_type) AS value, user_id CONFIG '{"method": "AROW", "parameter": {"regularization_weight": 1.0}}'""", "CREATE STREAM few FROM SELECT ts, event_id, event_type, value, user_id FROM events", "UPDATE MODEL m USING train FROM few", "CREATE STREAM c FROM ANALYZE few BY MODEL m USING classify", "CREATE STREAM s FROM SELECT event_id, highestScoreLabel(classify) AS label FROM c")
     return made.table("s")

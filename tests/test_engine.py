@@ -247,7 +247,7 @@ def test_recommender_and_anomaly(spark):
 
 def test_feature_rules(spark):
     df = spark.createDataFrame([("abc", "bar bar", 27, 1.23, True)], "label string, foo string, hoge int, f double, flag boolean")
-    names = lambda rules: {(r.k, r.v) for r in df.select(F.explode(features.vector(features.extract(df, rules, "label"))).alias("k", "v")).collect()}
+    names = lambda rules: {(r.k, r.v) for r in features.with_datum(df, rules, "label").select(F.explode(features.vector(F.col("_datum"))).alias("k", "v")).collect()}
     assert names([("all", [], "id")]) == {("foo$bar bar@str", 1.0), ("hoge@num", 27.0), ("f@num", 1.23)}
     assert names([("columns", ["foo"], "unigram")]) == {(f"foo-unigram-conv${c}@unigram", float(n)) for c, n in Counter("bar bar").items()}
     assert names([("prefix", ["ho"], "id"), ("suffix", ["o"], "id")]) == {("hoge@num", 27.0), ("foo$bar bar@str", 1.0)}
@@ -263,9 +263,5 @@ def test_javascript_functions(spark):
     assert [tuple(r) for r in engine.table("o").orderBy("id").collect()] == [(1, "ab", 2.0), (2, "cc", 0.0)]
     assert engine.execute("CREATE FUNCTION f(a numeric) RETURNS numeric LANGUAGE JavaScript AS $$ return ( $$").code == 400
     df = spark.createDataFrame([("l", "abc")], "label string, s string")
-    datum = df.select(features.extract(df, [("columns", ["s"], "h")], "label", engine_call(engine)).alias("d")).first().d
+    datum = features.with_datum(df, [("columns", ["s"], "h")], "label", engine._feature, "d").first().d
     assert datum.num_values == {"h#s#x": 3.0} and datum.string_values == {"h#s#y": "abc"}
-
-
-def engine_call(engine):
-    return engine._feature
