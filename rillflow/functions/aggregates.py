@@ -182,26 +182,3 @@ def aggregate(rows: DataFrame, keys: list[str], aggs: list[Aggregate], placed: b
             best = by_value.groupBy(*keys).agg(F.max_by(f"_v{i}", F.struct("_c", "_m", f"_v{i}")).alias(f"_o{i}"))
             out = out.join(best, keys, "left")
     return out.select(*keys, "_n", *(F.col(f"_o{i}").alias(a.output) for i, a in enumerate(aggs)))
-
-
-def sliding(df: DataFrame, aggs: list[Aggregate], size: int, advance: int, kind: str, order: list[str] | None = None, ts: Column | None = None, having: str | None = None, ts_name: str = "event_timestamp") -> DataFrame:
-    """A sliding window over a bounded table.
-
-    ``kind`` "tuples" numbers rows by ``order`` and gives complete windows in order;
-    "time" gives every window with an item, with its start as a string.
-    """
-    inputs = [F.expr(a.column).cast(a.kind).alias(f"_v{i}") for i, a in enumerate(aggs)]
-    from ..operators.windows import by_count, by_time
-
-    if kind == "tuples":
-        named = [F.col(c).alias(f"_k{i}") for i, c in enumerate(order or [])]
-        rows = by_count(df.select(*named, *inputs), [f"_k{i}" for i in range(len(named))], size, advance)
-        out = aggregate(rows, ["_win"], aggs, placed=True).where(F.col("_n") == size).drop("_n")
-    else:
-        rows = by_time(df.select(ts.alias("_ts"), *inputs), F.col("_ts"), size, advance)
-        out = aggregate(rows, ["_win"], aggs).drop("_n")
-        start = F.date_format(F.timestamp_millis("_win"), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias(ts_name)
-        out = out.select("_win", start, *(f"`{a.output}`" for a in aggs))
-    if having:
-        out = out.where(having)
-    return out.orderBy("_win")

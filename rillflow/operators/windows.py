@@ -54,8 +54,7 @@ def by_count(df: DataFrame, order: list[str], size: int, advance: int) -> DataFr
 
 
 def by_time(df: DataFrame, ts: Column, size: int, advance: int) -> DataFrame:
-    """A row for each item and window of ``size`` seconds: ``_win`` (its start in ms), ``_ord`` (ms)."""
-    ms = F.floor(F.unix_micros(ts) / 1000)
-    rows = df.withColumn("_ord", ms).where("_ord is not null")
-    rows = rows.withColumn("_win", F.explode(windows_of(F.col("_ord"), size * 1000, advance * 1000)))
-    return rows.withColumn("_win", F.col("_win") * (advance * 1000))
+    """A row for each item and window of ``size`` ms: ``_win`` (its start in ms), ``_ord`` (ms)."""
+    rows = df.withColumn("_ord", F.floor(F.unix_micros(ts) / 1000)).where("_ord is not null")
+    rows = rows.withColumn("_win", F.explode(windows_of(F.col("_ord"), size, advance)))
+    return rows.withColumn("_win", F.col("_win") * advance)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import Aggregate, aggregate
 from ..operators.models import _kept
-from ..operators.windows import numbered, windows_of
+from ..operators.windows import by_count, by_time, numbered, windows_of
 
 
 class OngoingWindow:
@@ -27,6 +27,8 @@ class OngoingWindow:
     def push(self, df: DataFrame, order: list[str], ts: Column | None, last: bool = False) -> DataFrame:
         """Take a batch; gives the windows that are complete (with ``last``: all that are left)."""
         inputs = [F.expr(a.column).cast(a.kind).alias(f"_v{i}") for i, a in enumerate(self.aggs)]
+        if last and self.pending is None:
+            return self._shown(self._whole(df, order, ts, inputs))
         if self.kind == "tuples":
             rows = numbered(df.select(*order, *inputs), order, "_ord").drop(*order)
             rows = rows.withColumn("_ord", F.col("_ord") + self.seen)
@@ -52,7 +54,18 @@ class OngoingWindow:
                 self.given = over * self.advance
             self.pending = _kept(rows.where(F.col("_ord") >= (self.given or 0)))
         windows = windows.withColumn("_pos", F.col("_ord") - F.col("_k") * self.advance).withColumn("_win", F.col("_k") * self.advance).drop("_k")
-        out = aggregate(windows, ["_win"], self.aggs, placed=self.kind == "tuples").drop("_n").orderBy("_win")
+        return self._shown(aggregate(windows, ["_win"], self.aggs, placed=self.kind == "tuples"))
+
+    def _whole(self, df: DataFrame, order: list[str], ts: Column | None, inputs: list[Column]) -> DataFrame:
+        """All windows of a bounded stream in one plan, without state."""
+        if self.kind == "tuples":
+            rows = by_count(df.select(*order, *inputs), order, self.size, self.advance)
+            return aggregate(rows, ["_win"], self.aggs, placed=True).where(F.col("_n") == self.size)
+        rows = by_time(df.select(ts.alias("_ts"), *inputs), F.col("_ts"), self.size, self.advance)
+        return aggregate(rows, ["_win"], self.aggs)
+
+    def _shown(self, out: DataFrame) -> DataFrame:
+        out = out.drop("_n").orderBy("_win")
         if self.kind == "tuples":
             return out.drop("_win")
         start = F.date_format(F.timestamp_millis("_win"), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias(self.stamp)
