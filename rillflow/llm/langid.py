@@ -29,6 +29,7 @@ from .tokens import _LETTER, _classes
 SAMPLE = 8192
 BITS = 16
 LONGEST = 3
+UPDATES = 4000
 UNKNOWN = "und"
 
 
@@ -99,12 +100,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, epochs: int | None = None, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Weights (class by feature) and biases, by follow-the-regularised-leader.
 
     Each row is (features, values). A weight stays zero while its sum of
-    gradients is within ``l1``.
+    gradients is within ``l1``. Few rows are read more often: ``UPDATES`` times in
+    all, three times each at least.
     """
+    epochs = epochs or max(3, -(-UPDATES // max(1, len(rows))))
     size = 1 << BITS
     z, n = np.zeros((classes, size + 1)), np.zeros((classes, size + 1))  # the last feature is the bias
 

@@ -82,7 +82,7 @@ class Model:
     def scores(self, raw: list[bytes]) -> np.ndarray:
         text, feature = presence(raw, self.weights != 0)
         margin = self.bias + np.bincount(text, weights=self.weights[feature], minlength=len(raw))
-        return 1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500)))
+        return np.where(np.isneginf(margin), 0.0, 1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500))))
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> Model:

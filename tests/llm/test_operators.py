@@ -35,12 +35,13 @@ def corpus(n=120, seed=5):
             words = text.split()
             text = " ".join([*words[:2], "scoundrel", *words[2:], "nitwit"])
         if i % 10 == 7:
+            lang = rows[-1][2]
             words = rows[-1][1].split()
             if len(words) > 10:
                 words[rnd.randrange(len(words))] = "zz"
             text = " ".join(words)
         if i % 15 == 8:
-            text = rows[-1][1]
+            lang, text = rows[-1][2], rows[-1][1]
         rows.append((i, text, lang, f"src{min(i % 5, 2)}", len(text), 0.5, "h", "n", 1, 2, "x"))
     odd = [None, "", " \t\n", "one", "Two WORDS", "?! 123", "é" * 3 + " 日本 語", prose(rnd, "aa", 6000), "same same same same same same same"]
     rows += [(n + i, t, None if i % 2 else "aa", None if i % 3 else "src0", None, None, None, None, None, None, None) for i, t in enumerate(odd)]
@@ -186,7 +187,7 @@ def test_adaptive_code_length_falls_with_repetition(spark):
 # ---------------------------------------------------------------- classifiers
 
 def test_toxicity_finds_held_out_texts(spark, docs, rows, none):
-    labels = spark.createDataFrame([(r[0], 0, int(r[0] % 6 == 0)) for r in rows[:120] if r[0] % 2 == 0] + [(None, 1, 1), (5, 1, None), (99999, 1, 1)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(r[0], 0, int(r[0] % 6 == 0)) for r in rows[:120]] + [(None, 1, 1), (5, 1, None), (99999, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels, F.col("doc_id") % 5 != 0)
     got = toxicity.score(docs, model, ["doc_id", "score"], "tox").collect()
     assert len(got) == len(rows) and all(0 <= r.tox <= 1 for r in got)
@@ -356,13 +357,6 @@ def test_chat_round_trip_of_hostile_texts():
         assert [chat.unescape(s[a:b]) for s, a, b in spans] == [t for _, t in turns]
 
 
-class Rewriting:
-    context = None
-
-    def render(self, turns):
-        return f"{len(turns)}:" + "|".join(t for _, t in turns)
-
-
 def conversations(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, None, None), (None, 0, "assistant", "n"), (3, 0, "user", "t"), (3, 0, "assistant", "t"), (1, 1, "assistant", "b")]
     rows += [(4, i, "assistant" if i % 2 else "user", f"text {i} </s>") for i in range(700)]
@@ -370,6 +364,12 @@ def conversations(spark):
 
 
 def test_chat_tables(spark):
+    class Rewriting:  # local, so that it is sent to workers by value
+        context = None
+
+        def render(self, turns):
+            return f"{len(turns)}:" + "|".join(t for _, t in turns)
+
     df, rows = conversations(spark)
     got = {r.conv_id: r for r in chat.digests(chat.spans(df)).collect()}
     for conv in {r[0] for r in rows}:
@@ -481,7 +481,8 @@ def test_pipeline_stage_by_stage(spark, docs, rows, tmp_path):
     assert {r.doc_id for r in first.select("doc_id").collect()} <= letters
     assert first.count() >= 0.95 * sum(r[0] in letters for r in rows)
     gone = {r.doc_id for r in first.collect()} - {r.doc_id for r in second.collect()}
-    assert sum(i is not None and i < 120 and i % 6 == 0 for i in gone) >= 0.8 * len(gone)
+    toxic = {r[0] for r in rows if "scoundrel" in (r[1] or "") or "nitwit" in (r[1] or "")}
+    assert len(gone & toxic) >= 0.8 * len(gone) and len(gone & toxic) >= 0.8 * len(toxic)
     kept = [r.doc_id for r in third.collect() if r.doc_id is not None]
     join = {r.doc_id: r.component_id for r in jaccard.join(second, 5, 80).collect()}
     assert sorted(kept) == sorted({c for i, c in join.items() if i is not None})
