@@ -35,7 +35,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, discard, materialize, mix, small_batches, words
@@ -44,8 +44,9 @@ from .lm import tally
 
 FREQUENT = 20
 LIGHT = 40
-PARITY = 512
+PARITY = 256
 FINE = 8192
+FINE_ABOVE = 512
 SCAN_COST = 8
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _MASK = (1 << 64) - 1
@@ -162,7 +163,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, s1, s2, head, items, parity, fine): size, two sums that stand for the set,
     the shingles that have lists, all shingles of a set of at most ``LIGHT``, and two
     bitmaps in which each shingle has turned one bit (the fine one for sets above
-    ``PARITY`` only)."""
+    ``FINE_ABOVE`` only)."""
     keys, counts = frequent(docs, width)
     shared = docs.sparkSession.sparkContext.broadcast((keys, counts))
 
@@ -178,7 +179,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 s2.append(int(mix(own ^ _STEP).sum()))
                 items.append(own if len(own) <= LIGHT else own[:0])
                 parity.append(turned_bits(own, PARITY))
-                fine.append(turned_bits(own, FINE) if len(own) > PARITY else own[:0])
+                fine.append(turned_bits(own, FINE) if len(own) > FINE_ABOVE else own[:0])
                 if len(keys) and len(own):
                     where = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                     weight = np.where(keys[where] == own, counts[where], 0)
@@ -282,11 +283,15 @@ def side(entries: DataFrame, name: str, *more: str) -> DataFrame:
 
 
 def lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(list, node, n, at, parity, band): the inverted lists with at least two entries."""
+    """(list, node, n, at, parity, band): the inverted lists with at least two entries.
+
+    Most shingles have one entry; they are shuffled once, without the columns of
+    their sets, which join what is left.
+    """
+    entries = classes.select(F.posexplode("head").alias("at", "list"), F.col("doc_id").alias("node"))
+    entries = entries.withColumn("_size", F.count("*").over(Window.partitionBy("list"))).where("_size > 1").dropDuplicates(["list", "node"]).drop("_size")
     band = F.floor(F.log("n") / np.log(100 / percent)).alias("band")
-    entries = classes.select(F.posexplode("head").alias("at", "list"), F.col("doc_id").alias("node"), "n", "parity", band)
-    shared = entries.groupBy("list").agg(F.count("*").alias("_size")).where("_size > 1").select("list")
-    return entries.join(shared, "list").dropDuplicates(["list", "node", "n"])
+    return entries.join(classes.select(F.col("doc_id").alias("node"), "n", "parity", band), "node")
 
 
 def stars(entries: DataFrame, percent: int) -> DataFrame:
