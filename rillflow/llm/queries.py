@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from . import chat, fingerprint, jaccard, langid, lm, mixing, neardup, packing, toxicity, warc
 from .common import bucket
+from .oracles import ORACLE as ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
