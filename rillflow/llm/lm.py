@@ -5,10 +5,11 @@ texts. A symbol that a context has not seen costs an escape (method D: half a
 count of each distinct symbol) to the next shorter context, where the symbols
 already ruled out are excluded; below order 0 all remaining bytes are equally
 likely. The sum over a text, with its end as one more symbol, is the log10
-probability of the lower-cased text. Branches seen by fewer than one in
-``1 << SHARE`` of all symbols are cut off (their mass goes to the escape), so the
-trie that is broadcast has at most ``(ORDER + 1) << SHARE`` branches whatever the
-size of the corpus. ``adaptive`` instead learns within each text alone.
+probability of the lower-cased text. The trie keeps every branch, as a distributed
+table. Only the ``1 << SHARE`` most frequent grams are broadcast, with their
+probabilities; all others are scored once each by the whole trie, a
+bucket of contexts at a time, and joined. ``adaptive`` instead learns within each
+text alone.
 
 Beside it a base score: a unigram model of words with add-0.1 smoothing, whose
 counts stay a distributed table. Only words as frequent as one in ``1 << WORDS``
@@ -35,6 +36,7 @@ from .common import chunks, discard, materialize, small_batches, words
 ORDER = 5
 SHARE = 19
 WORDS = 17
+BUCKETS = 1024
 START, END, SYMBOLS = 0xFE, 0xFF, 255
 END_WORD = 0
 _TOP = 8 * ORDER
@@ -167,24 +169,66 @@ class Model:
         return out
 
 
-def fit(counts: DataFrame, total: int) -> Model:
-    """Build the trie from stored ``counts``; ``total`` is the number of symbols."""
-    levels = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("key", 8 * (ORDER - k)).alias("gram")) for k in range(ORDER + 1)))
-    cut = counts.where("kind = 1").select(F.explode(levels).alias("g"), "n").groupBy("g.k", "g.gram").agg(F.sum("n").alias("n"))
-    stored = materialize(cut)
-    least = max(1, -(-total >> SHARE))  # at most 1 << SHARE branches of an order have as many
-    context = F.col("gram").bitwiseAND(F.expr("shiftleft(1L, 8 * k) - 1"))
-    branches = stored.where(F.col("n") >= least).toPandas()
-    nodes = stored.groupBy("k", context.alias("context")).agg(F.sum("n").alias("total")).where(F.col("total") >= least).toPandas()
-    discard(stored)
-    by = lambda table, k, *names: tuple(table.loc[table["k"] == k, x].to_numpy(np.int64) for x in names)
-    grams_, contexts = [], []
-    for k in range(ORDER + 1):
-        gram, n = by(branches, k, "gram", "n")
-        node, seen = by(nodes, k, "context", "total")
-        grams_.append((gram.view(np.uint64), n))
-        contexts.append((node.view(np.uint64), seen))
-    return Model(grams_, contexts)
+class Usual:
+    """The frequent grams with their log10 probabilities; all others are handed on."""
+
+    def __init__(self, gram: np.ndarray, log_p: np.ndarray):
+        order = np.argsort(gram)
+        self.gram, self.log_p = gram[order], log_p[order]
+
+    def texts(self, raw: list[bytes]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The log10 probability of each text's frequent grams, and (text, gram, times) of the others, by text."""
+        text, key = grams(raw)
+        both = np.sort(key << np.uint64(16) | text)
+        first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(both)))
+        key, text = both[first] >> np.uint64(16), (both[first] & np.uint64(0xFFFF)).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.gram, key), max(len(self.gram) - 1, 0))
+        hit = self.gram[at] == key if len(self.gram) else np.zeros(len(key), bool)
+        out = 0.0 + np.bincount(text[hit], weights=self.log_p[at[hit]] * times[hit], minlength=len(raw))
+        order = np.argsort(text[~hit], kind="stable")
+        return out, (text[~hit][order], key[~hit][order], times[~hit][order])
+
+
+def usual_grams(counts: DataFrame) -> Usual:
+    """The ``1 << SHARE`` most frequent grams, without those that tie with the next one, scored exactly."""
+    known = counts.where("kind = 1")
+    # how many grams have each count; distinct counts are at most the root of twice the symbols
+    least, room = 1, 1 << SHARE
+    for r in sorted(known.groupBy("n").agg(F.count("*").alias("c")).collect(), reverse=True):
+        room -= r["c"]
+        if room < 0:
+            least = r["n"] + 1
+            break
+    context = F.col("key").bitwiseAND((1 << _TOP) - 1).alias("context")
+    often = known.where(F.col("n") >= least).select("key", "n", context)
+    often = often.join(known.groupBy(context).agg(F.sum("n").alias("total")), "context").select("key", "n", "total").toPandas()
+    gram, n, total = (often[c].to_numpy(np.int64) for c in ("key", "n", "total"))
+    return Usual(gram.view(np.uint64), np.log10((n - 0.5) / total))
+
+
+def score_grams(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key, log_p) of all counted grams and of those of ``asked(key)``, by the whole trie.
+
+    The trie is never in one place: all contexts that end with the same two bytes are
+    in one bucket, which builds their branches of order 2 and above and scores there
+    what is asked. Only orders 0 and 1, at most 2^16 branches, are broadcast.
+    """
+    known = counts.where("kind = 1").select("key", "n")
+    low = known.groupBy(F.shiftrightunsigned("key", 8 * (ORDER - 1)).alias("gram")).agg(F.sum("n").alias("n")).toPandas()
+    one = (low["gram"].to_numpy(np.int64).view(np.uint64), low["n"].to_numpy(np.int64))
+    shared = counts.sparkSession.sparkContext.broadcast([tally(one[0] >> np.uint64(8), one[1]), tally(*one)])
+
+    def run(table: pa.Table) -> pa.Table:
+        key, n = tally(table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy())
+        seen = n > 0
+        levels = [*shared.value, *(tally(key[seen] >> np.uint64(8 * (ORDER - k)), n[seen]) for k in range(2, ORDER + 1))]
+        contexts = [tally(gram & np.uint64((1 << 8 * k) - 1), c) for k, (gram, c) in enumerate(levels)]
+        return pa.table({"key": pa.array(key.view(np.int64)), "log_p": pa.array(Model(levels, contexts).score(key))})
+
+    ends = F.shiftrightunsigned("key", 8 * (ORDER - 2)).bitwiseAND(0xFFFF)
+    rows = known.union(asked.select("key", F.lit(0).cast("long").alias("n")).distinct())
+    return rows.groupBy(F.pmod(F.xxhash64(ends), F.lit(BUCKETS)).alias("bucket")).applyInArrow(run, "key long, log_p double")
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +241,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     n, v = sums.get(0, (0, 0))
     word_counts = counts.where("kind = 0").select("key", "n")
     usual = word_counts.where((F.col("n") >= max(1, -(-n >> WORDS))) | (F.col("key") == END_WORD)).toPandas().sort_values("key", key=lambda s: s.astype("uint64"))
-    shared = spark.sparkContext.broadcast((fit(counts, sums.get(1, (0, 0))[0]), usual["key"].to_numpy(np.int64).view(np.uint64), usual["n"].to_numpy(np.int64)))
+    shared = spark.sparkContext.broadcast((usual_grams(counts), usual["key"].to_numpy(np.int64).view(np.uint64), usual["n"].to_numpy(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -215,24 +259,31 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             known = np.bincount(text[hit], minlength=len(raw)) + end_known
             rare = h[~hit].view(np.int64)
             offsets = np.concatenate(([0], np.cumsum(np.bincount(text[~hit], minlength=len(raw))))).astype(np.int32)
+            own, (of, gram, times) = model.texts(raw)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(raw))))).astype(np.int32)
+            rare_grams = pa.StructArray.from_arrays([pa.array(gram.view(np.int64)), pa.array(times.astype(np.int64))], names=["key", "times"])
             yield pa.record_batch(
-                [pa.array([next(row) for _ in raw], pa.int64()), part.column("id"), part.column("held_out"), pa.array(np.bincount(text, minlength=len(raw)) + 1), pa.array(known), pa.array(base), pa.array(model.texts(raw)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare))],
-                names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "rare"],
+                [pa.array([next(row) for _ in raw], pa.int64()), part.column("id"), part.column("held_out"), pa.array(np.bincount(text, minlength=len(raw)) + 1), pa.array(known), pa.array(base), pa.array(own), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare)), pa.ListArray.from_arrays(pa.array(ends), rare_grams)],
+                names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "rare", "rare_grams"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = materialize(rows.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"))
+    scored = materialize(rows.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, rare_grams array<struct<key: long, times: long>>"))
     rare = scored.select("row", F.explode("rare").alias("key")).join(word_counts, "key", "left")
     per_text = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_base"), F.count("n").alias("rare_known"))
+    # only held-out texts have grams that no training text has
+    asked = scored.where(~F.col("held_out").eqNullSafe(False)).select(F.explode("rare_grams.key").alias("key"))
+    parts = scored.select("row", F.inline("rare_grams")).join(score_grams(counts, asked), "key")
+    per_row = parts.groupBy("row").agg(F.sum(F.col("times") * F.col("log_p")).alias("rare_score"))
     below = math.log10(n + 0.1 * (v + 1))
-    return scored.drop("rare").join(per_text, "row", "left").select(
+    return scored.drop("rare", "rare_grams").join(per_text, "row", "left").join(per_row, "row", "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -178,6 +178,17 @@ def test_scores_and_base_by_brute_force(docs, rows, none):
     assert lm.score(none, held).count() == 0
 
 
+def test_rare_branches_count(docs, rows, monkeypatch):
+    monkeypatch.setattr(lm, "SHARE", 6)  # as if the corpus were thousands of times larger
+    held = F.coalesce(F.col("doc_id"), F.lit(0)) % 10 == 0
+    trie = lm.Trie()
+    for r in rows:
+        if (r[0] or 0) % 10:
+            trie.read((r[1] or "").encode(), learn=True, score=False)
+    got = sorted(r.score for r in lm.score(docs, held).collect())
+    assert np.allclose(got, sorted(trie.read((r[1] or "").encode(), learn=False) for r in rows), rtol=1e-6, atol=1e-3)
+
+
 def test_adaptive_code_length_falls_with_repetition(spark):
     df = spark.createDataFrame([(1, "abc " * 50), (2, "abc "), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.score for r in lm.adaptive(df).collect()}
