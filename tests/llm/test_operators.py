@@ -475,6 +475,16 @@ def test_near_vectors_by_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_large_groups_do_not_hide_missed_pairs(spark):
+    truth = spark.createDataFrame([(i, 5000) for i in range(200)] + [(i, 1) for i in range(200, 204)], "cid long, true_links long")
+    found = spark.createDataFrame([(i, 5000) for i in range(200)] + [(200, 1)], "cid long, links long")
+    assert neardup.recalled(truth, found) == 0.25
+    assert neardup.recalled(truth.limit(0), found) == 1.0
+    for bits in (6, 13, 20):
+        meet = (1 - math.acos(0.95) / math.pi) ** bits
+        assert (1 - meet) ** neardup.planes_for(neardup.LEAF << bits, 0.95, 0.98) <= 0.02
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stage_by_stage(spark, docs, rows, tmp_path):
