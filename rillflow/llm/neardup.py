@@ -5,7 +5,8 @@ compared in blocks. Then, in rounds, the neighbours of each vector (those in its
 list, and those in whose lists it is) are compared with each other, and each list
 keeps its best. A list is saturated if all it holds are links; the vectors of a
 component that has such a list are compared in blocks, so their links are counted
-without a list of any length. A sample of vectors is audited against all rows; while
+without a list of any length, and search again with lists that hold only vectors of
+other components, until no two of these components link. A sample of vectors is audited against all rows; while
 it finds less than ``recall`` of the links of vectors with about as many links, more
 hyperplanes and rounds follow; a target that is not met is logged as a warning.
 
@@ -80,7 +81,7 @@ def planes_for(total: int, cosine: float, recall: float) -> int:
 
 
 def by_planes(vectors: DataFrame, total: int, dims: int, k: int, seed: int, planes: int = PLANES) -> DataFrame:
-    """Edges between vectors on the same sides of random hyperplanes."""
+    """Edges between vectors of different ``own`` on the same sides of random hyperplanes."""
     bits = max(0, math.ceil(math.log2(max(1, total) / LEAF)))
     normals = np.random.default_rng(seed).standard_normal((planes, bits, dims))
 
@@ -89,38 +90,40 @@ def by_planes(vectors: DataFrame, total: int, dims: int, k: int, seed: int, plan
             x = unit(batch.column("x"))
             for t in range(planes):
                 code = ((x @ normals[t].T > 0) @ (1 << np.arange(bits, dtype=np.int64))) if bits else np.zeros(len(x), np.int64)
-                yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int64)), batch.column("cid"), batch.column("x")], names=["tree", "code", "cid", "x"])
+                yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int64)), batch.column("cid"), batch.column("own"), batch.column("x")], names=["tree", "code", "cid", "own", "x"])
 
     kind = vectors.schema["x"].dataType.simpleString()
-    coded = materialize(vectors.select("cid", "x").mapInArrow(cut, f"tree int, code long, cid long, x {kind}"))
+    coded = materialize(vectors.select("cid", "own", "x").mapInArrow(cut, f"tree int, code long, cid long, own long, x {kind}"))
     parts = coded.groupBy("tree", "code").agg(F.ceil(F.count("*") / (4 * LEAF)).cast("int").alias("parts"))
     rows = coded.join(parts, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("cid", "tree"), F.col("parts")))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, x = table.column("cid").to_numpy(), unit(table.column("x"))
+        ids, own, x = table.column("cid").to_numpy(), table.column("own").to_numpy(), unit(table.column("x"))
         sim = x @ x.T
-        np.fill_diagonal(sim, -2.0)
+        sim[own[:, None] == own] = -2.0
         kept = min(k, len(ids) - 1)
         if not kept:
             return _edges(ids[:0], ids[:0], sim[0, :0])
         near = np.argpartition(-sim, kept - 1, axis=1)[:, :kept]
-        return _edges(np.repeat(ids, kept), ids[near.ravel()], np.take_along_axis(sim, near, 1).ravel())
+        best = np.take_along_axis(sim, near, 1).ravel()
+        other = best > -2.0
+        return _edges(np.repeat(ids, kept)[other], ids[near.ravel()][other], best[other])
 
     return rows.groupBy("tree", "code", "part").applyInArrow(compare, EDGES)
 
 
 def descend(edges: DataFrame, vectors: DataFrame, total: int, k: int) -> DataFrame:
-    """Better edges among the neighbours of each vector."""
+    """Better edges, between vectors of different ``own``, among the neighbours of each vector."""
     back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v")))
     around = edges.select("u", "v").union(back.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")).distinct()
     least = edges.groupBy("u").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("least"))
-    known = vectors.select(F.col("cid").alias("v"), "x").join(least.select(F.col("u").alias("v"), "least"), "v", "left")
+    known = vectors.select(F.col("cid").alias("v"), "own", "x").join(least.select(F.col("u").alias("v"), "least"), "v", "left")
     groups = max(1, total // GROUP)
     rows = around.join(known, "v").withColumn("group", F.pmod(F.xxhash64("u"), F.lit(groups)))
 
     def local(table: pa.Table) -> pa.Table:
-        u, v = table.column("u").to_numpy(), table.column("v").to_numpy()
+        u, v, group = (table.column(c).to_numpy() for c in ("u", "v", "own"))
         x, least = unit(table.column("x")), table.column("least").to_numpy(zero_copy_only=False)
         order = np.argsort(u, kind="stable")
         bounds = np.append(np.flatnonzero(np.concatenate(([True], u[order][1:] != u[order][:-1]))), len(u))
@@ -128,7 +131,7 @@ def descend(edges: DataFrame, vectors: DataFrame, total: int, k: int) -> DataFra
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             own = order[a:b]
             sim = x[own] @ x[own].T
-            np.fill_diagonal(sim, -2.0)
+            sim[group[own][:, None] == group[own]] = -2.0
             i, j = np.nonzero(sim > least[own][:, None])
             found.append((v[own[i]], v[own[j]], sim[i, j]))
         p, q, s = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -151,6 +154,14 @@ def refine(edges: DataFrame, vectors: DataFrame, total: int, k: int, rounds: int
     return edges
 
 
+def between(vectors: DataFrame, dims: int, cosine: float, k: int, recall: float, seed: int) -> DataFrame:
+    """(u, v): links found between vectors(cid, own, x) of different ``own``, each way."""
+    total = vectors.count()
+    edges = refine(by_planes(vectors, total, dims, k, seed, planes_for(total, cosine, recall)), vectors, total, k)
+    near = edges.where(F.col("sim") >= cosine)
+    return near.select("u", "v").union(near.select("v", "u")).distinct()
+
+
 def in_blocks(vectors: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
     """(cid, links): links of each vector within its component, components in blocks.
 
@@ -223,16 +234,28 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, k: int = NEIGHBOURS,
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     truth = materialize(audit(vectors, total, cosine))
-    edges = None
+    each = vectors.withColumn("own", F.col("cid"))
+    edges = crossing = None
     for attempt in range(tries):
-        fresh = by_planes(vectors, total, usual, k, seed=attempt, planes=planes_for(total, cosine, recall))
-        edges = refine(fresh if edges is None else edges.union(fresh), vectors, total, k)
+        fresh = by_planes(each, total, usual, k, seed=attempt, planes=planes_for(total, cosine, recall))
+        edges = refine(fresh if edges is None else edges.union(fresh), each, total, k)
         near = edges.where(F.col("sim") >= cosine)
-        links = materialize(near.select("u", "v").union(near.select("v", "u")).distinct())
-        tied = materialize(components(links))
+        links = near.select("u", "v").union(near.select("v", "u"))
+        links = materialize((links if crossing is None else links.union(crossing)).distinct())
         full = near.groupBy("u").agg(F.count("*").alias("c")).where(F.col("c") >= k).select(F.col("u").alias("node"))
-        saturated = tied.join(full, "node", "left_semi").select("component").distinct()
-        counted = in_blocks(vectors, tied.join(saturated, "component", "left_semi").select(F.col("node").alias("cid"), "component"), cosine)
+        while True:
+            tied = materialize(components(links))
+            saturated = tied.join(full, "node", "left_semi").select("component").distinct()
+            members = materialize(tied.join(saturated, "component", "left_semi").select(F.col("node").alias("cid"), "component"))
+            if members.select("component").distinct().limit(2).count() < 2:
+                break
+            # a link that full lists left out is between two of these components; each round merges some
+            more = materialize(between(vectors.join(members.withColumnRenamed("component", "own"), "cid"), usual, cosine, k, recall, tries + attempt))
+            if more.isEmpty():
+                break
+            crossing = more if crossing is None else crossing.union(more)
+            links = materialize(links.union(more).distinct())
+        counted = in_blocks(vectors, members, cosine)
         listed = links.join(vectors.select(F.col("cid").alias("v"), "n"), "v").groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("listed"))
         found = materialize(listed.join(counted, "cid", "full").select("cid", F.coalesce("links", "listed").alias("links")))
         reached = recalled(truth, found)

@@ -485,6 +485,18 @@ def test_large_groups_do_not_hide_missed_pairs(spark):
         assert (1 - meet) ** neardup.planes_for(neardup.LEAF << bits, 0.95, 0.98) <= 0.02
 
 
+def test_clumps_that_fill_their_own_lists_link(spark):
+    rng = np.random.default_rng(3)
+    c = np.zeros((2, 48))
+    c[:, 0], c[0, 1], c[1, 1] = 1.0, 0.13, -0.13
+    x = np.concatenate([one + rng.standard_normal((12, 48)) * 0.1 / 48**0.5 for one in c / np.linalg.norm(c, axis=1, keepdims=True)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    assert near[:12, 12:].any() and np.sort((x @ x.T)[0, :12])[1:].min() > (x @ x.T)[0, 12:].max()
+    got = {r.vec_id: r for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(24)] == [(int(near[i].sum()) - 1, 0, i == 0) for i in range(24)]
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stage_by_stage(spark, docs, rows, tmp_path):
