@@ -147,7 +147,8 @@ def nearest(asked: DataFrame, stored: DataFrame, k: int, measure: str) -> DataFr
             score[~np.isfinite(score)] = -np.inf
             score[(x @ y.T) == 0] = -np.inf
         else:
-            score = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)) if len(place) <= 64 else np.sqrt(np.maximum(nx[:, None] ** 2 + ny[None, :] ** 2 - 2 * x @ y.T, 0))
+            # by differences, so that equal rows are at zero exactly
+            score = np.sqrt(np.stack([((y - one) ** 2).sum(axis=1) for one in x]))
             score[q["q"].to_numpy()[:, None] == r["id"].to_numpy()[None, :]] = np.inf
         ids = r["id"].to_numpy()
         order = [np.lexsort((ids.astype(str), sign * row))[:k] for row in score]

@@ -272,7 +272,9 @@ add("rec_complete_from_datum", _recommended("complete_row_from_datum"))
 
 
 def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").where("vec_id < 200").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)))
+    rows = table(spark, sf_dir, "embeddings")
+    size = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    vectors = rows.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(size)))
     model = models.Anomaly("a", [("prefix", ["e"], "id")], "vec_id", '{"parameter": {"nearest_neighbor_num": 10}}', None)
     model.update(vectors, ["vec_id"])
     return model.analyze(vectors, "calc_score", "score").select("vec_id", F.round("score", 6).alias("score"))

@@ -1,6 +1,7 @@
 """Each named query against its SQL in DuckDB."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -37,6 +38,25 @@ def test_query(spark, duck, name):
     assert plain(got) == plain([tuple(r[named.index(c)] for c in columns) for r in cursor.fetchall()])
 
 
+def test_anomaly_scores_of_all_rows_by_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((230, 12))
+    x[:, :8] = x[:, :8].round()
+    spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    k = 10
+    stored = np.argsort(d, axis=1)[:, :k]
+    reach = np.take_along_axis(d, stored, 1)[:, -1]
+    lrd = 1 / np.maximum(np.take_along_axis(d, stored, 1), reach[stored]).mean(axis=1)
+    np.fill_diagonal(d, 0)  # an asked row finds its stored copy as well
+    near = np.argsort(d, axis=1)[:, :k]
+    own = 1 / np.maximum(np.take_along_axis(d, near, 1), reach[near]).mean(axis=1)
+    got = {r.vec_id: r.score for r in Q.QUERIES["anom_calc_score"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(x)
+    assert np.allclose([got[i] for i in range(len(x))], lrd[near].mean(axis=1) / own, atol=1e-5)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
