@@ -151,9 +151,11 @@ def nearest(asked: DataFrame, stored: DataFrame, k: int, measure: str) -> DataFr
             score = np.sqrt(np.stack([((y - one) ** 2).sum(axis=1) for one in x]))
             score[q["q"].to_numpy()[:, None] == r["id"].to_numpy()[None, :]] = np.inf
         ids = r["id"].to_numpy()
-        order = [np.lexsort((ids.astype(str), sign * row))[:k] for row in score]
-        out = [(q["q"].iloc[i], ids[j], float(score[i, j])) for i, o in enumerate(order) for j in o if np.isfinite(score[i, j])]
-        return pd.DataFrame(out, columns=["q", "id", "score"])
+        place_of = np.argsort(np.argsort(ids.astype(str), kind="stable"))
+        order = np.stack([np.lexsort((place_of, sign * row))[:k] for row in score])
+        best = np.take_along_axis(score, order, 1)
+        sound = np.isfinite(best)
+        return pd.DataFrame({"q": np.repeat(q["q"].to_numpy(), order.shape[1])[sound.ravel()], "id": ids[order[sound]], "score": best[sound]})
 
     met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(compare, f"q {kinds['q']}, id {kinds['id']}, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score") * F.lit(sign), F.col("id").cast("string")))

@@ -57,6 +57,12 @@ def test_anomaly_scores_of_all_rows_by_brute_force(spark, tmp_path):
     assert np.allclose([got[i] for i in range(len(x))], lrd[near].mean(axis=1) / own, atol=1e-5)
 
 
+@pytest.mark.parametrize("name", ["rec_complete_from_id", "rec_complete_from_datum"])
+def test_every_part_is_completed(spark, name):
+    got = [r.id for r in Q.QUERIES[name](spark, SF).select("id").collect()]
+    assert sorted(got) == sorted(str(r.p_partkey) for r in Q.table(spark, SF, "part").select("p_partkey").collect())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
