@@ -8,6 +8,7 @@ below /tmp/checkpoints is chosen.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -52,6 +53,16 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and broadcasts that no live table needs.
+
+    It deletes them when the driver's garbage is collected, which a driver with memory
+    to spare does too late for jobs of many steps.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep an Arrow batch small enough for texts of any length in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")

@@ -7,29 +7,32 @@ if ``100 * intersection >= percent * union``, that is, if sets of sizes a and b
 Light side (sets up to a boundary size): for each pair of sizes (a, b) that can
 link, a set enumerates its subsets of exactly need(a, b) shingles; sets that meet in
 a subset link, all of them to the smallest set of the smaller size: no pairs.
-Heavy side (larger sets): inverted lists. In one order of all shingles, frequent
-ones last, two linked sets share one of their first ``first(n)`` shingles, so only
-those have lists. The lists are scanned in two rounds: first every entry is compared
-with the list's lowest entry of about its size, which ties groups of copies
+Heavy side (larger sets): inverted lists. In one order of all shingles two linked
+sets share one of their first ``first(n)`` shingles, so only those have lists. The
+order begins with a region, a fixed fraction of all hashes, from the rarest shingle to
+the most frequent, by exact counts over all documents; the other shingles follow in
+the order of their hashes. The lists are scanned in two rounds: first every entry is
+compared with the list's lowest entry of about its size, which ties groups of copies
 together; then entries outside the list's main component are compared with the
-entries of other components. Entries carry a bitmap that bounds how much two sets
-share, so few pairs leave a list; those are decided by their whole sets. The boundary
-takes the least cost over the histogram of sizes.
+entries of other components, each pair in its first lists only. Bitmaps bound how
+much two sets share; the pairs that are left are decided by their whole sets. The
+boundary takes the least cost over the histogram of sizes.
 
-Sets that are equal are one class with its smallest id as representative, so
-thousands of copies cost no pairs.
+Sets that are equal are one node, so thousands of copies cost no pairs.
+
+``LIGHT``, ``BITMAP`` and the sizes of the bitmaps bear on speed alone: results are
+exact at every size.
 
 Defined results: a null text is empty; a document without words has no set and
 links with nothing; with fewer words than ``width`` the whole sequence is its one
-shingle; rows with equal ids are one node; a null id gets a null component; an empty
-table gives an empty result; other columns are ignored. Shingles are compared by
-64-bit hashes.
+shingle; rows with equal ids and different texts are nodes each; a row with a null id
+takes part and gets a null component; an empty table gives an empty result; other
+columns are ignored. Shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -38,15 +41,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, materialize, mix, small_batches, words
+from .common import chunks, discard, materialize, mix, release, small_batches, words
 from .components import components
-from .lm import tally
 
-FREQUENT = 20
 LIGHT = 40
 PARITY = 256
 FINE = 8192
 FINE_ABOVE = 512
+BITMAP = 26
+BEFORE = 3
 SCAN_COST = 8
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _MASK = (1 << 64) - 1
@@ -87,70 +90,68 @@ def shingles(raw: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return found, np.searchsorted(owner, np.arange(len(raw) + 1))
 
 
-def frequent(docs: DataFrame, width: int, room: int = 3_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, count), at most ``1 << FREQUENT``: those that go last in the order.
+def sums(own: np.ndarray) -> tuple[int, int, int]:
+    """Size and two sums that stand for a set."""
+    return len(own), int(mix(own).sum()), int(mix(own ^ _STEP).sum())
 
-    Counts leave out shingles seen once in a task. The order may be any, so this
-    bears on speed alone.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, total = 0, 0
-
-        def out() -> pa.RecordBatch:
-            keys, n = tally(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            keys, n = keys[n > 1], n[n > 1]
-            return pa.record_batch([pa.array(np.append(keys.view(np.int64), 0)), pa.array(np.append(n, total))], names=["key", "n"])
-
-        for _, raw in chunks(batches, "text"):
-            held.append(tally(shingles(raw, width)[0]))
-            total += int(held[-1][1].sum())
-            size += len(held[-1][0])
-            if size > room:
-                yield out()
-                held, size, total = [], 0, 0
-        if held:
-            yield out()
-
-    counts = materialize(docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    total = counts.where("key = 0").agg(F.sum("n")).first()[0] or 0
-    most = counts.where((F.col("key") != 0) & (F.col("n") >= max(8, -(-total >> FREQUENT)))).toPandas()
-    discard(counts)
-    keys = most["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], most["n"].to_numpy(np.int64)[order]
+def node() -> Column:
+    """The key of a set, from the columns of its ``sums``."""
+    return F.xxhash64("n", "s1", "s2").alias("node")
 
 
-BITMAP = 26
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, s1, s2) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw in chunks(batches, "text"):
+            h, at = shingles(raw, width)
+            each = [sums(np.unique(h[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
+            columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in zip(*each, strict=True)]
+            yield pa.record_batch([part.column("doc_id"), *columns], names=["doc_id", "n", "s1", "s2"])
 
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
-def sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of the documents whose ids are in ``ids(doc_id)``, and of few others.
 
-    A bitmap of hashed ids (at most ``1 << BITMAP`` bits) tells tasks which texts to
+def reread(docs: DataFrame, ids: DataFrame, width: int, kinds: str, give: Callable[[list[np.ndarray]], list[pa.Array]]) -> DataFrame:
+    """(node, *kinds) of the sets of rows whose ids are in ``ids(doc_id)``, and of few others.
+
+    ``give`` makes the columns of ``kinds`` from sets in the order of their hashes. A
+    bitmap of hashed ids (at most ``1 << BITMAP`` bits) tells tasks which texts to
     read, so texts are never shuffled.
     """
     bits = min(BITMAP, max(10, (8 * ids.count()).bit_length()))
     place = F.xxhash64("doc_id").bitwiseAND((1 << bits) - 1)
-    words_ = ids.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("b")).toPandas()
+    words_ = ids.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("b")).toArrow()
     bitmap = np.zeros(max(1, 1 << bits >> 6), np.int64)
-    bitmap[words_["w"].to_numpy(np.int64)] = words_["b"].to_numpy(np.int64)
+    bitmap[words_.column("w").to_numpy()] = words_.column("b").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+    names = ["n", "s1", "s2", *(k.split()[0] for k in kinds.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in batches:
             h = batch.column("h").to_numpy()
             asked = bitmap[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1) == 1
-            for part, raw in chunks(iter([batch.filter(pa.array(asked))]), "text"):
+            for _, raw in chunks(iter([batch.filter(pa.array(asked))]), "text"):
                 hashes, at = shingles(raw, width)
-                each = [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                bounds = np.cumsum([0] + [len(x) for x in each]).astype(np.int32)
-                flat = np.concatenate(each).view(np.int64)
-                yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=["doc_id", "shingles"])
+                each = [x for a, b in zip(at[:-1], at[1:], strict=True) if len(x := np.unique(hashes[a:b]))]
+                if each:
+                    keys = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in zip(*map(sums, each), strict=True)]
+                    yield pa.record_batch([*keys, *give(each)], names=names)
+
+    read = docs.select("text", place.alias("h")).mapInArrow(run, f"n long, s1 long, s2 long, {kinds}")
+    return read.select(node(), "n", *names[3:])
+
+
+def listed(rows: list[np.ndarray]) -> pa.Array:
+    bounds = np.cumsum([0] + [len(x) for x in rows]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(rows).view(np.int64)))
 
-    return docs.select("doc_id", "text", place.alias("h")).mapInArrow(run, "doc_id long, shingles array<long>")
+
+def sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(node, n, shingles) of the sets of rows with ``ids(doc_id)``, and of few others."""
+    return reread(docs, ids, width, "shingles array<long>", lambda each: [listed(each)])
 
 
 def turned_bits(own: np.ndarray, size: int) -> np.ndarray:
@@ -159,40 +160,26 @@ def turned_bits(own: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
-def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, head, items, parity, fine): size, two sums that stand for the set,
-    the shingles that have lists, all shingles of a set of at most ``LIGHT``, and two
-    bitmaps in which each shingle has turned one bit (the fine one for sets above
+def region(percent: int) -> float:
+    """The fraction of hashes whose shingles are ordered by their counts."""
+    return min(1.0, 1.5 * (100 - percent) / 100 + 0.02)
+
+
+def described(docs: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, n, r, head, items, parity, fine) of sets: how many shingles lie in the region,
+    those and as many more as must have lists, all shingles of a set of at most ``LIGHT``,
+    and two bitmaps in which each shingle has turned one bit (the fine one for sets above
     ``FINE_ABOVE`` only)."""
-    keys, counts = frequent(docs, width)
-    shared = docs.sparkSession.sparkContext.broadcast((keys, counts))
+    end = np.uint64(min(_MASK, int(region(percent) * 2**64)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shared.value
-        for part, raw in chunks(batches, "text"):
-            h, at = shingles(raw, width)
-            n, s1, s2, heads, items, parity, fine = [], [], [], [], [], [], []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                own = np.unique(h[a:b])
-                n.append(len(own))
-                s1.append(int(mix(own).sum()))
-                s2.append(int(mix(own ^ _STEP).sum()))
-                items.append(own if len(own) <= LIGHT else own[:0])
-                parity.append(turned_bits(own, PARITY))
-                fine.append(turned_bits(own, FINE) if len(own) > FINE_ABOVE else own[:0])
-                if len(keys) and len(own):
-                    where = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    weight = np.where(keys[where] == own, counts[where], 0)
-                    own = own[np.lexsort((own, weight))]
-                heads.append(own[: first(len(own), percent)] if len(own) else own)
-            lists = []
-            for x in (heads, items, parity, fine):
-                bounds = np.cumsum([0] + [len(y) for y in x]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(x).view(np.int64))))
-            sums = [pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)]
-            yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), *sums, *lists], names=["doc_id", "n", "s1", "s2", "head", "items", "parity", "fine"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, head array<long>, items array<long>, parity array<long>, fine array<long>")
+    def give(each: list[np.ndarray]) -> list[pa.Array]:
+        inside = [int(np.searchsorted(x, end)) for x in each]
+        heads = [x[: max(r, first(len(x), percent))] for x, r in zip(each, inside, strict=True)]
+        items = [x if len(x) <= LIGHT else x[:0] for x in each]
+        fine = [turned_bits(x, FINE) if len(x) > FINE_ABOVE else x[:0] for x in each]
+        return [pa.array(inside, pa.int64()), listed(heads), listed(items), listed([turned_bits(x, PARITY) for x in each]), listed(fine)]
+
+    return reread(docs, ids, width, "r long, head array<long>, items array<long>, parity array<long>, fine array<long>", give)
 
 
 def pairs_of_sizes(n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -217,7 +204,7 @@ def light_links(classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, items in zip(batch.column("doc_id").to_pylist(), batch.column("items"), strict=True):
+            for node, items in zip(batch.column("node").to_pylist(), batch.column("items"), strict=True):
                 own = items.values.to_numpy().view(np.uint64)
                 total, n = own.sum(), len(own)
                 keys, smaller = [], []
@@ -229,33 +216,37 @@ def light_links(classes: DataFrame, percent: int) -> DataFrame:
                     flat = np.concatenate(keys).view(np.int64)
                     yield pa.record_batch([pa.array(flat), pa.array(np.full(len(flat), node)), pa.array(np.concatenate(smaller))], names=["key", "node", "smaller"])
 
-    subsets = materialize(classes.select("doc_id", "items").mapInArrow(run, "key long, node long, smaller boolean"))
+    subsets = materialize(classes.select("node", "items").mapInArrow(run, "key long, node long, smaller boolean"))
     meet = subsets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("smaller"), F.col("node"))).alias("u")).where("n > 1 and u is not null").select("key", "u")
     return subsets.join(meet, "key").where("node <> u").select("u", F.col("node").alias("v")).distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs(u, v)`` that link, by their whole sets.
+def bits_apart(a: str, b: str) -> Column:
+    """In how many bits two bitmaps differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
 
-    First only the listed shingles and the fine bitmaps are compared: two sets share
+def verified(pairs: DataFrame, own: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs(u, v)`` of nodes that link, by their whole sets.
+
+    First only the listed shingles and the bitmaps are compared: two sets share
     at most the shingles that both list and all that one of them does not list, and
     they differ at least in as many shingles as their bitmaps in bits. What may still
     link is compared in full.
     """
-    side = lambda c, h, n, b: classes.select(F.col("doc_id").alias(c), F.col("head").alias(h), F.col("n").alias(n), F.col("fine").alias(b))
-    most = F.size(F.array_intersect("hu", "hv")) + F.greatest(F.col("nu") - F.size("hu"), F.col("nv") - F.size("hv"))
-    least = (100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))
-    both = F.col("nu") + F.col("nv")
-    differ = F.aggregate(F.zip_with("bu", "bv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    alike = (F.size("bu") == 0) | (F.size("bv") == 0) | (differ <= both - 2 * needed("nu", "nv", percent))
-    met = pairs.join(side("u", "hu", "nu", "bu"), "u").join(side("v", "hv", "nv", "bv"), "v")
-    pairs = materialize(met.where(least & alike).select("u", "v").distinct())
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    own = materialize(sets(docs, ids, width))
-    joined = pairs.join(own.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(own.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
-    both = F.size(F.array_intersect("x", "y"))
-    links = materialize(joined.where((100 + percent) * both >= percent * (F.size("x") + F.size("y"))).select("u", "v").distinct())
-    discard(own, pairs)
+    side = lambda c: own.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", "head", "parity", "fine")))
+    both = F.col("u_n") + F.col("v_n")
+    most = F.size(F.array_intersect("u_head", "v_head")) + F.greatest(F.col("u_n") - F.size("u_head"), F.col("v_n") - F.size("v_head"))
+    may_differ = both - 2 * needed("u_n", "v_n", percent)
+    alike = (bits_apart("u_parity", "v_parity") <= may_differ) & ((F.size("u_fine") == 0) | (F.size("v_fine") == 0) | (bits_apart("u_fine", "v_fine") <= may_differ))
+    met = pairs.join(side("u"), "u").join(side("v"), "v")
+    asked = materialize(met.where(alike & ((100 + percent) * most >= percent * both)).select("u", "v").distinct())
+    nodes = asked.select(F.col("u").alias("node")).union(asked.select("v")).distinct()
+    whole = materialize(sets(docs, classes.join(nodes, "node").select("doc_id"), width))
+    joined = asked.join(whole.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(whole.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    links = materialize(joined.where((100 + percent) * shared >= percent * (F.size("x") + F.size("y"))).select("u", "v").distinct())
+    discard(whole, asked)
     return links
 
 
@@ -267,71 +258,106 @@ def needed(a: str, b: str, percent: int) -> Column:
 def may_link(u: str, v: str, percent: int) -> Column:
     """Whether the sets of two entries of a list may link, if no list before had both.
 
-    The columns are {u}_n, {u}_at (the place of the list's shingle in the set) and
-    {u}_parity. Two sets that meet first at places i and j share at most what follows,
-    and their bitmaps differ in at most as many bits as they differ in shingles.
+    The columns are {u}_n and {u}_at, the place of the list's shingle in the set. Two
+    sets that meet first at places i and j share at most what follows.
     """
     a, b = F.col(f"{u}_n"), F.col(f"{v}_n")
     least = needed(f"{u}_n", f"{v}_n", percent)
-    differ = reduce(lambda p, q: p + q, (F.bit_count(F.get(f"{u}_parity", F.lit(i)).bitwiseXOR(F.get(f"{v}_parity", F.lit(i)))) for i in range(PARITY // 64)))
-    return (F.col(f"{u}_at") <= a - least) & (F.col(f"{v}_at") <= b - least) & (differ <= a + b - 2 * least)
+    return (F.col(f"{u}_at") <= a - least) & (F.col(f"{v}_at") <= b - least)
 
 
-def side(entries: DataFrame, name: str, *more: str) -> DataFrame:
+def side(entries: DataFrame, name: str, *more: str, before: bool = False) -> DataFrame:
     """The columns of entries with names for one side of a join."""
-    return entries.select("list", *more, *(F.col(c).alias(f"{name}_{c}" if c != "node" else name) for c in ("node", "n", "at", "parity")))
+    own = ["node", "n", "at", *([f"b{i}" for i in range(1, BEFORE + 1)] if before else [])]
+    return entries.select("list", *more, *(F.col(c).alias(f"{name}_{c}" if c != "node" else name) for c in own))
 
 
-def lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(list, node, n, at, parity, band): the inverted lists with at least two entries.
+def lists(own: DataFrame, percent: int) -> DataFrame:
+    """(list, node, n, at, band, b1, b2, ...): the inverted lists with at least two entries.
 
-    Most shingles have one entry; they are shuffled once, without the columns of
-    their sets, which join what is left.
+    ``at`` is the place of the shingle in the order of its set, b1, b2, ... are the
+    lists right before it there. Most shingles have one entry; only their number in a
+    set bears on the places of the others.
     """
-    entries = classes.select(F.posexplode("head").alias("at", "list"), F.col("doc_id").alias("node"))
-    entries = entries.withColumn("_size", F.count("*").over(Window.partitionBy("list"))).where("_size > 1").dropDuplicates(["list", "node"]).drop("_size")
+    entries = own.select("node", F.posexplode("head").alias("pos", "list"))
+    counts = entries.groupBy("list").agg(F.count("*").alias("df")).where("df > 1")
+    met = materialize(entries.join(counts, "list").dropDuplicates(["list", "node"]))
+    sizes = own.select("node", "n", "r").dropDuplicates(["node"])
+    rows = met.join(sizes, "node").withColumn("inside", F.col("pos") < F.col("r"))
+    order = Window.partitionBy("node").orderBy(F.desc("inside"), F.when(F.col("inside"), F.col("df")), "list")
+    ranked = rows.withColumns({
+        "rank": F.row_number().over(order) - 1,
+        "several": F.count_if("inside").over(Window.partitionBy("node")),
+        **{f"b{i}": F.lag("list", i).over(order) for i in range(1, BEFORE + 1)},
+    })
+    at = F.when(F.col("inside"), F.col("r") - F.col("several") + F.col("rank")).otherwise(F.col("pos"))
     band = F.floor(F.log("n") / np.log(100 / percent)).alias("band")
-    return entries.join(classes.select(F.col("doc_id").alias("node"), "n", "parity", band), "node")
+    kept = ranked.withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(percent * F.col("n") / 100))
+    out = materialize(kept.select("list", "node", "n", "at", band, *(f"b{i}" for i in range(1, BEFORE + 1))))
+    discard(met)
+    return out
 
 
 def stars(entries: DataFrame, percent: int) -> DataFrame:
     """(u, v): each entry with the lowest entry of about its size of most of its lists."""
-    lowest = entries.groupBy("list", "band").agg(F.min(F.struct("node", "n", "at", "parity")).alias("low")).select("list", "band", "low.*")
+    lowest = entries.groupBy("list", "band").agg(F.min(F.struct("node", "n", "at")).alias("low")).select("list", "band", "low.*")
     met = side(entries, "v", "band").join(side(lowest, "u", "band"), ["list", "band"]).where((F.col("u") != F.col("v")) & may_link("u", "v", percent))
     often = met.groupBy("v", "u").agg(F.count("*").alias("c"))
     return often.groupBy("v").agg(F.max_by("u", F.struct("c", -F.col("u"))).alias("u")).select("u", "v")
 
 
+def met_before() -> Column:
+    """Whether two entries of a list have one of the lists right before it in common."""
+    found = F.lit(False)
+    for i in range(1, BEFORE + 1):
+        for j in range(1, BEFORE + 1):
+            found = found | F.coalesce(F.col(f"u_b{i}") == F.col(f"v_b{j}"), F.lit(False))
+    return found
+
+
 def across(entries: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
-    """(u, v) pairs of a list that lie in different components, u < v."""
-    marked = entries.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    marked = materialize(marked)
-    main = marked.groupBy("list", "component").agg(F.count("*").alias("c")).groupBy("list").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"))
-    outside = side(marked.join(main, "list").where("component <> main").withColumnRenamed("component", "cu"), "u", "cu", "main")
+    """(u, v) pairs of a list that lie in different components, u < v.
+
+    Of two such entries one is outside the list's main component. The lists right
+    before tell of most pairs whether an earlier list has both, and gives the pair.
+    """
+    marked = materialize(entries.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    main = marked.groupBy("list", "component").agg(F.count("*").alias("c")).groupBy("list").agg(F.count("*").alias("several"), F.max_by("component", F.struct("c", -F.col("component"))).alias("main")).where("several > 1")
+    outside = side(marked.join(main, "list").where("component <> main").withColumnRenamed("component", "cu"), "u", "cu", "main", before=True)
     apart = (F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("v")))
-    met = outside.join(side(marked, "v", "component"), "list").where(apart & may_link("u", "v", percent))
-    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    met = outside.join(side(marked, "v", "component", before=True), "list").where(apart & may_link("u", "v", percent) & ~met_before())
+    out = materialize(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    discard(marked)
+    return out
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; its component is the smallest id reachable by links."""
-    small_batches(docs.sparkSession)
+    """(doc_id, n_shingles, component_id) of every row; its component is the smallest id reachable by links."""
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(signatures(docs, width, percent))
-    named = docs.where("doc_id is not null")
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
-    classes = materialize(classes)
-    keys = ["n", "s1", "s2"]
-    own = signed.where("n > 0").join(classes, keys).where("doc_id = class_id")
-    own = materialize(own.select("doc_id", "n", "head", "items", "parity", "fine"))
+    signed = materialize(signatures(docs, width).select("doc_id", "n", node()))
+    classes = materialize(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    own = materialize(described(docs, classes.select("doc_id"), width, percent))
     histogram = {r["n"]: r["c"] for r in own.where(F.col("n") <= LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most LIGHT rows
     x = boundary(histogram, percent)
     light = light_links(own.where(F.col("n") <= x), percent)
-    entries = materialize(lists(own.where(100 * F.col("n") >= percent * (x + 1)), percent))
-    links = verified(materialize(light.union(stars(entries, percent)).distinct()), own, named, width, percent)
-    more = verified(across(entries, components(links), percent), own, named, width, percent)
-    links = links.union(more)
-    tied = components(links).select(F.col("node").alias("class_id"), "component")
-    found = signed.select("doc_id", *keys).join(classes, keys, "left").join(tied, "class_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
+    entries = lists(own.where(100 * F.col("n") >= percent * (x + 1)), percent)
+    release(spark)
+    near = materialize(light.union(stars(entries, percent)).distinct())
+    links = verified(near, own, classes, docs, width, percent)
+    release(spark)
+    apart = across(entries, components(links), percent)
+    discard(entries, near)
+    more = verified(apart, own, classes, docs, width, percent)
+    discard(own, apart)
+    release(spark)
+    tied = components(links.union(more))
+    least = classes.join(tied, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    named = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    whole = materialize(least.join(named, "component").select("node", "component_id"))
+    discard(classes, links, more)
+    release(spark)
+    found = signed.join(whole, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return found.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
