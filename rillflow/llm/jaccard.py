@@ -12,7 +12,7 @@ sets share one of their first ``first(n)`` shingles, so only those have lists. T
 order begins with a region, a fixed fraction of all hashes, from the rarest shingle to
 the most frequent, by exact counts over all documents; the other shingles follow in
 the order of their hashes. The lists are scanned in two rounds: first every entry is
-compared with the list's lowest entry of about its size, which ties groups of copies
+compared with the list's first entry of about its size, which ties groups of copies
 together; then entries outside the list's main component are compared with the
 entries of other components, each pair in its first lists only. Bitmaps bound how
 much two sets share; the pairs that are left are decided by their whole sets. The
@@ -33,6 +33,7 @@ columns are ignored. Shingles and sets are compared by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -238,9 +239,9 @@ def verified(pairs: DataFrame, own: DataFrame, classes: DataFrame, docs: DataFra
     both = F.col("u_n") + F.col("v_n")
     most = F.size(F.array_intersect("u_head", "v_head")) + F.greatest(F.col("u_n") - F.size("u_head"), F.col("v_n") - F.size("v_head"))
     may_differ = both - 2 * needed("u_n", "v_n", percent)
-    alike = (bits_apart("u_parity", "v_parity") <= may_differ) & ((F.size("u_fine") == 0) | (F.size("v_fine") == 0) | (bits_apart("u_fine", "v_fine") <= may_differ))
+    near = (bits_apart("u_parity", "v_parity") <= may_differ) & ((F.size("u_fine") == 0) | (F.size("v_fine") == 0) | (bits_apart("u_fine", "v_fine") <= may_differ))
     met = pairs.join(side("u"), "u").join(side("v"), "v")
-    asked = materialize(met.where(alike & ((100 + percent) * most >= percent * both)).select("u", "v").distinct())
+    asked = materialize(met.where(near & ((100 + percent) * most >= percent * both)).select("u", "v").distinct())
     nodes = asked.select(F.col("u").alias("node")).union(asked.select("v")).distinct()
     whole = materialize(sets(docs, classes.join(nodes, "node").select("doc_id"), width))
     joined = asked.join(whole.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(whole.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
@@ -266,23 +267,29 @@ def may_link(u: str, v: str, percent: int) -> Column:
     return (F.col(f"{u}_at") <= a - least) & (F.col(f"{v}_at") <= b - least)
 
 
+def alike(u: str, v: str, percent: int) -> Column:
+    """Whether two sets differ in few enough bits of {u}_parity; true where one is too large for it."""
+    differ = reduce(lambda p, q: p + q, (F.bit_count(F.get(f"{u}_parity", F.lit(i)).bitwiseXOR(F.get(f"{v}_parity", F.lit(i)))) for i in range(PARITY // 64)))
+    return F.coalesce(differ <= F.col(f"{u}_n") + F.col(f"{v}_n") - 2 * needed(f"{u}_n", f"{v}_n", percent), F.lit(True))
+
+
 def side(entries: DataFrame, name: str, *more: str, before: bool = False) -> DataFrame:
     """The columns of entries with names for one side of a join."""
-    own = ["node", "n", "at", *([f"b{i}" for i in range(1, BEFORE + 1)] if before else [])]
+    own = ["node", "n", "at", *(["parity", *(f"b{i}" for i in range(1, BEFORE + 1))] if before else [])]
     return entries.select("list", *more, *(F.col(c).alias(f"{name}_{c}" if c != "node" else name) for c in own))
 
 
 def lists(own: DataFrame, percent: int) -> DataFrame:
-    """(list, node, n, at, band, b1, b2, ...): the inverted lists with at least two entries.
+    """(list, node, n, at, band, parity, b1, b2, ...): the inverted lists with at least two entries.
 
     ``at`` is the place of the shingle in the order of its set, b1, b2, ... are the
-    lists right before it there. Most shingles have one entry; only their number in a
+    lists right before it there; only sets of at most ``FINE_ABOVE`` have the bitmap. Most shingles have one entry; only their number in a
     set bears on the places of the others.
     """
     entries = own.select("node", F.posexplode("head").alias("pos", "list"))
     counts = entries.groupBy("list").agg(F.count("*").alias("df")).where("df > 1")
     met = materialize(entries.join(counts, "list").dropDuplicates(["list", "node"]))
-    sizes = own.select("node", "n", "r").dropDuplicates(["node"])
+    sizes = own.select("node", "n", "r", F.when(F.col("n") <= FINE_ABOVE, F.col("parity")).alias("parity")).dropDuplicates(["node"])
     rows = met.join(sizes, "node").withColumn("inside", F.col("pos") < F.col("r"))
     order = Window.partitionBy("node").orderBy(F.desc("inside"), F.when(F.col("inside"), F.col("df")), "list")
     ranked = rows.withColumns({
@@ -293,14 +300,17 @@ def lists(own: DataFrame, percent: int) -> DataFrame:
     at = F.when(F.col("inside"), F.col("r") - F.col("several") + F.col("rank")).otherwise(F.col("pos"))
     band = F.floor(F.log("n") / np.log(100 / percent)).alias("band")
     kept = ranked.withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(percent * F.col("n") / 100))
-    out = materialize(kept.select("list", "node", "n", "at", band, *(f"b{i}" for i in range(1, BEFORE + 1))))
+    out = materialize(kept.select("list", "node", "n", "at", band, "parity", *(f"b{i}" for i in range(1, BEFORE + 1))))
     discard(met)
     return out
 
 
 def stars(entries: DataFrame, percent: int) -> DataFrame:
-    """(u, v): each entry with the lowest entry of about its size of most of its lists."""
-    lowest = entries.groupBy("list", "band").agg(F.min(F.struct("node", "n", "at")).alias("low")).select("list", "band", "low.*")
+    """(u, v): each entry with the first entry of about its size of most of its lists.
+
+    First is the set that has the fewest rarer shingles: what copies were made from.
+    """
+    lowest = entries.groupBy("list", "band").agg(F.min(F.struct("at", "node", "n")).alias("low")).select("list", "band", "low.*")
     met = side(entries, "v", "band").join(side(lowest, "u", "band"), ["list", "band"]).where((F.col("u") != F.col("v")) & may_link("u", "v", percent))
     often = met.groupBy("v", "u").agg(F.count("*").alias("c"))
     return often.groupBy("v").agg(F.max_by("u", F.struct("c", -F.col("u"))).alias("u")).select("u", "v")
@@ -325,7 +335,7 @@ def across(entries: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
     main = marked.groupBy("list", "component").agg(F.count("*").alias("c")).groupBy("list").agg(F.count("*").alias("several"), F.max_by("component", F.struct("c", -F.col("component"))).alias("main")).where("several > 1")
     outside = side(marked.join(main, "list").where("component <> main").withColumnRenamed("component", "cu"), "u", "cu", "main", before=True)
     apart = (F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("v")))
-    met = outside.join(side(marked, "v", "component", before=True), "list").where(apart & may_link("u", "v", percent) & ~met_before())
+    met = outside.join(side(marked, "v", "component", before=True), "list").where(apart & may_link("u", "v", percent) & ~met_before() & alike("u", "v", percent))
     out = materialize(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     discard(marked)
     return out
