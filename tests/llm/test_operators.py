@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -309,6 +310,74 @@ def test_mixing_reaches_entropy_and_budget(spark):
     assert 1800 < small.agg(F.sum("n_tokens")).first()[0] <= 2000
 
 
+def spark_hash(seed, epoch, key):
+    h = 42
+    for number, size in ((seed, 4), (epoch, 4), (key, 8)):
+        h = xxhash.xxh64_intdigest(number.to_bytes(size, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_mixture(rows, goal, repeats):
+    """Exponent by a plain search, and how often each document is used; rows are (id, source, tokens)."""
+    tokens = Counter()
+    for _, s, n in rows:
+        tokens[s] += n
+    total = sum(tokens.values())
+    p = {s: n / total for s, n in tokens.items()}
+
+    def at(a):
+        z = sum(x**a for x in p.values())
+        w = {s: x**a / z for s, x in p.items()}
+        budget = max(tokens[s] / w[s] for s in p)
+        return -sum(x * math.log(x) for x in w.values()), max(budget * w[s] / tokens[s] for s in p), w, budget
+
+    rising = at(1.0)[0] <= goal * math.log(len(p))
+
+    def good(a):
+        entropy, most, _, _ = at(a)
+        return most <= repeats and (entropy <= goal * math.log(len(p)) if rising else entropy >= goal * math.log(len(p)))
+
+    near, far = 1.0, 0.0 if rising else 64.0
+    for _ in range(80):
+        near, far = ((near + far) / 2, far) if good((near + far) / 2) else (near, (near + far) / 2)
+    _, _, w, budget = at(near)
+    used = Counter()
+    for s in p:
+        at_token, epoch = 0, 0
+        while at_token < budget * w[s] * (1 - 1e-9):
+            for i, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: spark_hash(1, epoch, r[0])):
+                at_token += n
+                if at_token > budget * w[s] * (1 + 1e-9):
+                    break
+                used[i] += 1
+            epoch += 1
+    return near, used
+
+
+@pytest.mark.parametrize(("goal", "repeats", "stopped_by"), [(0.95, 50.0, "entropy"), (0.6, 1000.0, "entropy"), (0.99, 1.7, "repeats"), (0.3, 1.5, "repeats")])
+def test_mixing_by_plain_search(spark, goal, repeats, stopped_by):
+    rows = [(i, "w " * (1 + i % 7), f"s{int(i**0.5) % 5 if i % 3 else 0}") for i in range(900)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), goal, repeats).collect()
+    exponent, used = plain_mixture([(i, s, len(t.split())) for i, t, s in rows], goal, repeats)
+    assert {r.stopped_by for r in out} == {stopped_by}
+    assert math.isclose(out[0].exponent, exponent, abs_tol=1e-6)
+    assert Counter(r.doc_id for r in out) == used
+
+
+def test_sources_of_equal_size_stay_as_they_are(spark):
+    df = spark.createDataFrame([(i, "a b", f"s{i % 4}") for i in range(40)], "doc_id long, text string, source string")
+    assert {r.stopped_by for r in mixing.mix(df, 0.5).collect()} == {"reach"} and mixing.mix(df, 0.5).count() == 40
+    assert mixing.apply(df, 0.5).count() == 40
+
+
+def test_apply_repeats_as_mix_does(spark):
+    rows = [(i, f"{i} " * (1 + i % 5), None if i % 11 == 0 else f"s{i % 3 if i % 2 else 0}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter(r.key for r in mixing.mix(df.select(F.xxhash64("doc_id", "text").alias("key"), "text", "source"), 0.99, id_col="key").collect())
+    got = Counter(r.key for r in mixing.apply(df, 0.99).select(F.xxhash64("doc_id", "text").alias("key")).collect())
+    assert got == want and max(got.values()) > min(got.values())
+
+
 def test_mixing_awkward_rows(docs, rows, none):
     out = mixing.apply(docs)
     assert out.columns == docs.columns
