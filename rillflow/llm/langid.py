@@ -3,9 +3,12 @@
 Features are hashed character n-grams (1 to 3 code points of the lower-cased
 text), weighted by term frequency times inverse document frequency; document
 frequencies are counted over all training texts. The weights are learned by
-follow-the-regularised-leader with elastic-net penalties, text by text, on at
-most about ``SAMPLE`` labelled texts chosen by a hash of their ids; a fifth of
-them is kept back to fit the temperature that calibrates the probabilities.
+follow-the-regularised-leader with elastic-net penalties, text by text, in ``EPOCHS``
+passes over at most about ``SAMPLE`` labelled texts (``LEAST`` of each language at
+least), as many of each language as there are, chosen by a hash of their ids. A fifth of
+them is kept back to fit the temperature that calibrates the probabilities; its loss
+takes one more text of each language to be mistaken, so few texts never make it sure. The
+learner runs in one task; the driver gets a row for each language and the model.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; an
 empty label column or no training text makes all texts ``und``; rows with a null
@@ -27,16 +30,17 @@ from .common import chunks, small_batches
 from .tokens import _LETTER, _classes
 
 SAMPLE = 8192
+LEAST = 64
+EPOCHS = 5
 BITS = 16
 LONGEST = 3
-UPDATES = 4000
 UNKNOWN = "und"
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text index, feature) of each n-gram, n-grams of each text, and whether it has a letter.
 
-    Blanks are one feature wherever they are; an n-gram never leaves its text.
+    Each blank character is a feature of its own; an n-gram never leaves its text.
     """
     joined = "\x00".join(texts).lower()
     sizes = [len(t) for t in texts]
@@ -100,14 +104,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, epochs: int | None = None, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Weights (class by feature) and biases, by follow-the-regularised-leader.
 
     Each row is (features, values). A weight stays zero while its sum of
-    gradients is within ``l1``. Few rows are read more often: ``UPDATES`` times in
-    all, three times each at least.
+    gradients is within ``l1``.
     """
-    epochs = epochs or max(3, -(-UPDATES // max(1, len(rows))))
     size = 1 << BITS
     z, n = np.zeros((classes, size + 1)), np.zeros((classes, size + 1))  # the last feature is the bias
 
@@ -131,16 +133,21 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes:
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search of its logarithm."""
+    """The temperature of least log loss, by golden-section search of its logarithm.
+
+    The loss counts one more text for each class, of which the model is as wrong as of
+    any class, so that it has a minimum even if no text is mistaken.
+    """
     if not len(labels):
         return 1.0
+    doubt = logits.shape[1] / (len(labels) + logits.shape[1])
 
     def loss(t: float) -> float:
-        p = softmax(logits / np.exp(t))
-        return float(-np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-300)).mean())
+        p = np.log(np.maximum(softmax(logits / np.exp(t)), 1e-300))
+        return float(-(1 - doubt) * p[np.arange(len(labels)), labels].mean() - doubt * p.mean())
 
-    low, high, g = -4.0, 4.0, (5**0.5 - 1) / 2
-    for _ in range(40):
+    low, high, g = -4.0, 8.0, (5**0.5 - 1) / 2
+    for _ in range(60):
         a, b = high - g * (high - low), low + g * (high - low)
         low, high = (low, b) if loss(a) <= loss(b) else (a, high)
     return float(np.exp((low + high) / 2))
@@ -162,40 +169,49 @@ def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
         if texts:
             yield pa.record_batch([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(seen[used], texts))], names=["feature", "n"])
 
-    found = rows.select("text").mapInArrow(spread, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()  # at most 1 << BITS rows
-    total = int(found.loc[found["feature"] == -1, "n"].sum())
+    found = rows.select("text").mapInArrow(spread, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # at most 1 << BITS rows
+    at, n = (found.column(c).to_numpy() for c in ("feature", "n"))
+    total = int(n[at == -1].sum())
     if not total:
         return Model([], np.zeros((0, 1 << BITS)), np.zeros(0), 1.0)
-    found = found[found["feature"] >= 0]
     idf = np.full(1 << BITS, np.log(1 + total))
-    idf[found["feature"]] = np.log((1 + total) / (1 + found["n"].to_numpy())) + 1e-3
+    idf[at[at >= 0]] = np.log((1 + total) / (1 + n[at >= 0])) + 1e-3
 
-    share = int(min(1.0, sample / total) * (1 << 30))
-    chosen = rows.where(F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) < share)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    quota = max(LEAST, sample // len(sizes))
+    shares = spark.createDataFrame([(lang, int(min(1.0, quota / n) * (1 << 30))) for lang, n in sizes.items()], "lang string, share long")
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) < F.col("share"))
+    langs = sorted(sizes)
+    shared = spark.sparkContext.broadcast(idf)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw in chunks(batches, "text"):
             text, feature, value = frequencies(raw)
             bounds = pa.array(np.searchsorted(text, np.arange(len(raw) + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (feature.astype(np.int32), value.astype(np.float32))]
-            yield pa.record_batch([part.column("doc_id"), part.column("lang"), *lists], names=["doc_id", "lang", "features", "shares"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    table = chosen.select("doc_id", "lang", "text").mapInArrow(vectors, f"doc_id {kind}, lang string, features array<int>, shares array<float>").toArrow()
-    langs = sorted(set(table.column("lang").to_pylist()))
-    label = np.array([langs.index(x) for x in table.column("lang").to_pylist()])
-    scale = 100.0
-    each = []
-    for f, v in zip(table.column("features"), table.column("shares"), strict=True):
-        at = f.values.to_numpy()
-        each.append((at, v.values.to_numpy() * idf[at] * scale))
-    order = sorted(range(len(each)), key=lambda i: (str(table.column("doc_id")[i].as_py()), langs[label[i]]))
-    kept, back = [i for k, i in enumerate(order) if k % 5], [i for k, i in enumerate(order) if not k % 5]
-    if not kept:
-        kept, back = order, []
-    weights, bias = ftrl([each[i] for i in kept], label[kept], len(langs))
-    logits = np.array([[weights[j][each[i][0]] @ each[i][1] + bias[j] for j in range(len(langs))] for i in back]).reshape(len(back), len(langs))
-    return Model(langs, weights * idf * scale, bias, temperature(logits, label[back]))
+            yield pa.record_batch([part.column("deal"), part.column("lang"), *lists], names=["deal", "lang", "features", "shares"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, scale = shared.value, 100.0
+        read = []
+        for batch in batches:
+            for deal, lang, f, v in zip(*(batch.column(c) for c in ("deal", "lang", "features", "shares")), strict=True):
+                at = f.values.to_numpy()
+                read.append((deal.as_py(), langs.index(lang.as_py()), at, v.values.to_numpy()))
+        read.sort(key=lambda r: (r[0], r[1], len(r[2])))
+        kept, back = [r for k, r in enumerate(read) if k % 5], [r for k, r in enumerate(read) if not k % 5]
+        if not kept:
+            kept, back = read, []
+        weights, bias = ftrl([(at, v * idf[at] * scale) for _, _, at, v in kept], np.array([r[1] for r in kept]), len(langs))
+        logits = np.array([[weights[j][at] @ (v * idf[at] * scale) + bias[j] for j in range(len(langs))] for _, _, at, v in back]).reshape(len(back), len(langs))
+        t = temperature(logits, np.array([r[1] for r in back], np.int64))
+        yield pa.record_batch([pa.array([(weights * idf * scale).tobytes()]), pa.array([bias.tobytes()]), pa.array([t])], names=["weights", "bias", "temperature"])
+
+    vectorised = chosen.select(F.xxhash64("doc_id", "text").alias("deal"), "lang", "text").mapInArrow(vectors, "deal long, lang string, features array<int>, shares array<float>")
+    # at most about `sample` rows, or LEAST for each language, go to the learner's task
+    made = vectorised.repartition(1).mapInArrow(learn, "weights binary, bias binary, temperature double").first()
+    shared.destroy()
+    return Model(langs, np.frombuffer(made["weights"]).reshape(len(langs), -1), np.frombuffer(made["bias"]), made["temperature"])
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -6,9 +6,14 @@ beginnings minimises the class-prior-corrected risk
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
-and takes a step against the second term where it is below zero. The model is
-fitted by numpy on at most about ``SAMPLE`` positives and ``SAMPLE`` unlabelled
-texts, chosen by a hash of their ids; every text is scored, whole.
+and takes a step against the second term where it is below zero. Every learnable text
+is learned from as unlabelled: the texts are dealt at random to parts of about ``PART``
+rows, each task descends from the common model over its part, ``BLOCK`` rows at a time,
+with numpy, and the models of the parts are averaged, ``ROUNDS`` times. Positives are at
+most about ``SAMPLE`` confirmed texts, chosen by a hash of their ids. The model's size
+is fixed: ``FEATURES`` of ``1 << BITS`` hashed features at most, those whose counts over
+all texts differ most surely between positives and all texts (``SURE`` deviations).
+Every text is scored, whole.
 
 Defined results: a null text is empty, an empty text gets the score of a text
 without features; repeated rows are scored each; a label row without a document
@@ -27,11 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _INVERSE, _SPACE, _power, chunks, mix, small_batches
+from .common import _BASE, _INVERSE, _SPACE, _power, chunks, discard, materialize, mix, small_batches
 
 SAMPLE = 8192
-BITS = 20
+BITS = 18
 FEATURES = 4096
+SURE = 3.0
+PART = 32768
+BLOCK = 8192
+ROUNDS = 2
+STEPS = 150
 BEGINNINGS = (3, 4, 5, 6, 8)
 
 
@@ -85,33 +95,35 @@ class Model:
         return np.where(np.isneginf(margin), 0.0, 1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500))))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> Model:
-    """Fit to lists of each text's features by the non-negative risk estimator."""
-    weights = np.zeros(1 << BITS)
-    if not positive or not prior:
-        return Model(weights, -np.inf)
-    unlabelled = unlabelled or [np.zeros(0, np.int64)]
-    count = lambda rows: np.bincount(np.concatenate(rows).astype(np.int64), minlength=1 << BITS)
-    in_p, in_u = count(positive), count(unlabelled)
-    rate_p, rate_u = (in_p + 0.5) / (len(positive) + 1), (in_u + 0.5) / (len(unlabelled) + 1)
-    gap = (rate_p - rate_u) / np.sqrt(rate_p * (1 - rate_p) / len(positive) + rate_u * (1 - rate_u) / len(unlabelled))
-    gap[in_p + in_u < min(5, len(positive))] = 0
-    used = np.argsort(-np.abs(gap), kind="stable")[:FEATURES]
-    used = used[np.abs(gap[used]) > 3.0] if (np.abs(gap[used]) > 3.0).any() else used[:16]
-    place = np.full(1 << BITS, -1)
-    place[used] = np.arange(len(used))
-
-    def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        column = place[np.concatenate(rows).astype(np.int64)]
-        return row[column >= 0], column[column >= 0], len(rows)
-
-    p, u = matrix(positive), matrix(unlabelled)
-    w, b = np.zeros(len(used)), 0.0
-    m, s = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+def select(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """The features to learn from, by how many of n_p positives and n_u texts have each."""
+    rate_p, rate_u = (in_p + 0.5) / (n_p + 1), (in_u + 0.5) / (n_u + 1)
+    gap = np.abs(rate_p - rate_u) / np.sqrt(rate_p * (1 - rate_p) / n_p + rate_u * (1 - rate_u) / max(1, n_u))
+    gap[in_p + in_u < min(5, n_p)] = 0
+    used = np.argsort(-gap, kind="stable")[:FEATURES]
+    return used[gap[used] > SURE] if (gap[used] > SURE).any() else used[:16]
+
+
+@dataclass
+class Rows:
+    """Texts as pairs (row, column) of the features they have."""
+
+    row: np.ndarray
+    column: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, lists: list[np.ndarray]) -> "Rows":
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        return cls(row, np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64), len(lists))
+
+
+def descend(w: np.ndarray, b: float, p: Rows, u: Rows, prior: float, steps: int, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights and bias after ``steps`` of the non-negative risk estimator, by Adam."""
+    m, s = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
-    margin = lambda x: b + np.bincount(x[0], weights=w[x[1]], minlength=x[2])
-    back = lambda x, g: np.append(np.bincount(x[1], weights=g[x[0]], minlength=len(used)), g.sum()) / x[2]
+    margin = lambda x: b + np.bincount(x.row, weights=w[x.column], minlength=x.n)
+    back = lambda x, g: np.append(np.bincount(x.column, weights=g[x.row], minlength=len(w)), g.sum()) / x.n
     for step in range(1, steps + 1):
         zp, zu = margin(p), margin(u)
         rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
@@ -120,39 +132,101 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         grad[:-1] += decay * w
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    weights[used] = w
-    return Model(weights, float(b))
+        w, b = w - move[:-1], b - float(move[-1])
+    return w, b
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAMPLE, prior: float | None = None) -> Model:
     """Fit on the documents where ``may_learn`` holds; ``prior`` defaults to the toxic share of their labels."""
     spark = docs.sparkSession
     small_batches(spark)
+    nothing = Model(np.zeros(1 << BITS), -np.inf)
     docs = docs.select("doc_id", "text", may_learn.alias("_learn")).where("_learn and doc_id is not null")
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(may_learn)
     n, toxic = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("int"))).first()
     if not toxic:
-        return Model(np.zeros(1 << BITS), -np.inf)
-    share = lambda size, salt: F.xxhash64("doc_id", F.lit(salt)).bitwiseAND((1 << 30) - 1) < int(min(1.0, sample / max(1, size)) * (1 << 30))
-    total = docs.count()
+        return nothing
+    prior = toxic / n if prior is None else prior
+    share = int(min(1.0, sample / toxic) * (1 << 30))
     # about `sample` ids at most
-    chosen = known.where((F.col("toxic") == 1) & share(toxic, 1)).select("doc_id", F.lit(True).alias("_toxic"))
-    rows = docs.join(F.broadcast(chosen), "doc_id", "left").where(F.col("_toxic") | share(total, 2))
-    rows = rows.select("text", F.coalesce("_toxic", F.lit(False)).alias("toxic"), share(total, 2).alias("any"))
+    chosen = known.where((F.col("toxic") == 1) & (F.xxhash64("doc_id", F.lit(1)).bitwiseAND((1 << 30) - 1) < share)).select("doc_id", F.lit(True).alias("_toxic"))
+    rows = docs.join(F.broadcast(chosen), "doc_id", "left").select("text", F.coalesce("_toxic", F.lit(False)).alias("toxic"), F.xxhash64("doc_id", "text").alias("deal"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << BITS), np.int64)
+        texts = np.zeros(2, np.int64)
         for part, raw in chunks(batches, "text"):
             text, feature = presence(raw)
+            positive = part.column("toxic").to_numpy(zero_copy_only=False)
+            seen[0] += np.bincount(feature, minlength=1 << BITS)
+            seen[1] += np.bincount(feature[positive[text]], minlength=1 << BITS)
+            texts += (len(raw), positive.sum())
+        used = np.flatnonzero(seen[0])
+        yield pa.record_batch([pa.array(np.append(used, -1).astype(np.int32)), *(pa.array(np.append(x[used], t)) for x, t in zip(seen, texts, strict=True))], names=["feature", "u", "p"])
+
+    counts = rows.mapInArrow(spread, "feature int, u long, p long").groupBy("feature").agg(F.sum("u").alias("u"), F.sum("p").alias("p")).toArrow()  # at most 1 << BITS rows
+    feature, u, p = (counts.column(c).to_numpy() for c in ("feature", "u", "p"))
+    n_u, n_p = (int(x[feature == -1].sum()) for x in (u, p))
+    if not n_p or not prior:
+        return nothing
+    in_u, in_p = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    in_u[feature[feature >= 0]], in_p[feature[feature >= 0]] = u[feature >= 0], p[feature >= 0]
+    used = np.sort(select(in_p, in_u, n_p, n_u))
+    shared = spark.sparkContext.broadcast(used)
+
+    def reduce_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BITS, -1)
+        place[shared.value] = np.arange(len(shared.value))
+        for part, raw in chunks(batches, "text"):
+            text, found = presence(raw, place >= 0)
             bounds = np.searchsorted(text, np.arange(len(raw) + 1)).astype(np.int32)
-            yield pa.record_batch([part.column("toxic"), part.column("any"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(feature.astype(np.int32)))], names=["toxic", "any", "features"])
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(place[found].astype(np.int16)))
+            yield pa.record_batch([part.column("toxic"), part.column("deal"), lists], names=["toxic", "deal", "features"])
 
-    table = rows.mapInArrow(run, "toxic boolean, any boolean, features array<int>").toArrow()
-    each = [x.to_numpy(zero_copy_only=False) if (x := r.values) is not None else np.zeros(0, np.int32) for r in table.column("features")]
-    positive = [x for x, t in zip(each, table.column("toxic").to_pylist(), strict=True) if t]
-    unlabelled = [x for x, t in zip(each, table.column("any").to_pylist(), strict=True) if t]
-    return fit(positive, unlabelled, toxic / n if prior is None else prior)
+    reduced = rows.mapInArrow(reduce_texts, "toxic boolean, deal long, features array<smallint>").repartition(max(1, n_u // PART), "deal")
+    reduced = materialize(reduced.select("toxic", "features"))
+    lists = lambda table: [x.values.to_numpy() for x in table.column("features")]
+    positive = spark.sparkContext.broadcast(Rows.of(lists(reduced.where("toxic").toArrow())))  # about `sample` rows of chosen features
+    w, b = np.zeros(len(used)), 0.0
+    for _ in range(ROUNDS):
+        start = spark.sparkContext.broadcast((w, b))
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w, b = start.value  # noqa: B023
+            held: list[np.ndarray] = []
+            texts = 0
+
+            def step() -> None:
+                nonlocal w, b, held, texts
+                w, b = descend(w, b, positive.value, Rows.of(held), prior, STEPS)
+                texts += len(held)
+                held = []
+
+            for batch in batches:
+                held += lists(batch)
+                if len(held) >= 2 * BLOCK:  # so that no block is much shorter than another
+                    later = held[BLOCK:]
+                    held = held[:BLOCK]
+                    step()
+                    held = later
+            if held:
+                step()
+            if texts:
+                values = np.append(w, b) * texts
+                yield pa.record_batch([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), texts))], names=["at", "value", "texts"])
+
+        sums = reduced.select("features").mapInArrow(learn, "at int, value double, texts long").groupBy("at").agg((F.sum("value") / F.sum("texts")).alias("value")).toArrow()  # a row for each feature of the model
+        mean = np.zeros(len(used) + 1)
+        mean[sums.column("at").to_numpy()] = sums.column("value").to_numpy()
+        w, b = mean[:-1], float(mean[-1])
+        start.destroy()
+    for x in (positive, shared):
+        x.destroy()
+    discard(reduced)
+    weights = np.zeros(1 << BITS)
+    weights[used] = w
+    return Model(weights, b)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], out: str = "score") -> DataFrame:

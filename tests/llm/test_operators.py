@@ -211,12 +211,35 @@ def test_toxicity_finds_held_out_texts(spark, docs, rows, none):
     assert toxicity.train(none, labels, F.lit(True)) is not None
 
 
-def test_non_negative_risk_on_points():
+def plain_descent(positive, unlabelled, prior, features, steps):
+    """The estimator written out with dense rows; also how often the second term was negative."""
+    x = lambda rows: np.array([[float(f in r) for f in range(features)] + [1.0] for r in rows])
+    p, u, w = x(positive), x(unlabelled), np.zeros(features + 1)
+    m, s, negative = np.zeros(features + 1), np.zeros(features + 1), 0
+    for t in range(1, steps + 1):
+        of_p, of_u = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
+        rest = -np.log(1 - of_u).mean() + prior * np.log(1 - of_p).mean()
+        of_rest = (of_u[:, None] * u).mean(axis=0) - prior * (of_p[:, None] * p).mean(axis=0)
+        if rest >= 0:
+            grad = prior * ((of_p - 1)[:, None] * p).mean(axis=0) + of_rest
+        else:
+            grad, negative = -of_rest, negative + 1
+        grad[:-1] += 1e-4 * w[:-1]
+        m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+    return w, negative
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.2, 0.5])
+def test_descent_equals_plain_estimator(prior):
     rnd = np.random.default_rng(2)
-    toxic = [np.unique(np.append(rnd.integers(0, 50, 5), 77)) for _ in range(60)]
-    other = [np.unique(rnd.integers(0, 50, 5)) for _ in range(500)] + [np.unique(np.append(rnd.integers(0, 50, 5), 77)) for _ in range(60)]
-    model = toxicity.fit(toxic, other, prior=0.1)
-    assert model.weights[77] > 1 and abs(model.weights[:50]).max() < model.weights[77]
+    toxic = [np.unique(np.append(rnd.integers(0, 12, 3), 12)) for _ in range(40)]
+    other = [np.unique(rnd.integers(0, 12, 3)) for _ in range(200)] + [np.unique(np.append(rnd.integers(0, 12, 3), 12)) for _ in range(30)]
+    want, negative = plain_descent(toxic, other, prior, 13, 200)
+    w, b = toxicity.descend(np.zeros(13), 0.0, toxicity.Rows.of(toxic), toxicity.Rows.of(other), prior, 200)
+    assert np.allclose(np.append(w, b), want, atol=1e-8)
+    assert w[12] > 1 and abs(w[:12]).max() < w[12]
+    assert negative or prior < 0.5
 
 
 def test_language_of_held_out_texts(docs, rows, none):
@@ -239,6 +262,19 @@ def test_temperature_calibrates():
     p = np.array([0.7, 0.2, 0.1])
     labels = rnd.choice(3, 5000, p=p)
     assert math.isclose(langid.temperature(np.tile(np.log(p) * 4, (5000, 1)), labels), 4, rel_tol=0.1)
+    sure = np.eye(3)[labels[:200]] * 30.0  # no text is mistaken: as sure as 200 texts allow
+    t = langid.temperature(sure, labels[:200])
+    assert 0.9 < langid.softmax(sure / t).max(axis=1).mean() < 0.995
+
+
+def test_rare_language_is_learned(spark):
+    rnd = random.Random(3)
+    rows = [(i, prose(rnd, lang, 30), lang) for i in range(600) for lang in (["aa", "bb"] if i % 60 else ["aa", "bb", "cc"])]
+    df = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train(df, F.lit(True), sample=120)
+    assert model.langs == ["aa", "bb", "cc"]
+    got = langid.predict(df, model, ["lang"]).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got) and all(r.lang_pred == "cc" for r in got if r.lang == "cc")
 
 
 # ---------------------------------------------------------------- fingerprints
