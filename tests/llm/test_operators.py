@@ -518,6 +518,11 @@ def brute_components(ids, linked):
     return {i: find(i) for i in ids}
 
 
+def shingle_set(text, width):
+    w = split(text)
+    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (1, 50)])
 def test_jaccard_join_by_brute_force(spark, width, percent):
     rnd = random.Random(width)
@@ -621,12 +626,17 @@ def test_pipeline_stage_by_stage(spark, docs, rows, tmp_path):
     gone = {r.doc_id for r in first.collect()} - {r.doc_id for r in second.collect()}
     toxic = {r[0] for r in rows if "scoundrel" in (r[1] or "") or "nitwit" in (r[1] or "")}
     assert len(gone & toxic) >= 0.8 * len(gone) and len(gone & toxic) >= 0.8 * len(toxic)
-    kept = [r.doc_id for r in third.collect() if r.doc_id is not None]
-    join = {r.doc_id: r.component_id for r in jaccard.join(second, 5, 80).collect()}
-    assert sorted(kept) == sorted({c for i, c in join.items() if i is not None})
+    plain = [(r.doc_id, shingle_set(r.text, 5)) for r in second.select("doc_id", "text").distinct().collect()]
+    group = brute_components(range(len(plain)), [(a, b) for a in range(len(plain)) for b in range(a) if plain[a][1] and 100 * len(plain[a][1] & plain[b][1]) >= 80 * len(plain[a][1] | plain[b][1])])
+    least = {}
+    for i, (doc, _) in enumerate(plain):
+        least.setdefault(group[i], []).append((doc is None, doc))
+    assert Counter(r.doc_id for r in third.collect()) == Counter(min(v, key=lambda x: (x[0], x[1] or 0))[1] for v in least.values())
     assert {r.doc_id for r in fourth.collect()} == {r.doc_id for r in third.collect()}
     assert last.select("doc_id").distinct().count() == third.select("doc_id").distinct().count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == last.count()
+    clash = spark.createDataFrame([(None, "one same text of six words"), (7, "one same text of six words"), (7, "another text that has six words"), (7, "another text that has six words")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_stage_key", "_id", "_group", "component_id", "_copies", "n")})
+    assert sorted((r.doc_id, r.text[:3]) for r in corpus_pipeline.jaccard_join(spark, clash, "").collect()) == [(7, "ano"), (7, "one")]
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
