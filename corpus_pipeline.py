@@ -4,9 +4,11 @@ Each stage takes all documents that the one before kept and learns, where it
 learns, from those. Stages 1 to 4 return the columns of documents.
 
 Defined results: documents without a letter are rejected by the first stage (so
-are null and empty texts); documents with a null id are kept by the third; of
-documents with equal ids the third keeps one; the fourth repeats documents of
-scarce sources and drops none; an empty table passes all stages.
+are null and empty texts); rows of equal id and text are one document to the third,
+and of a group of near copies it keeps the one with the smallest id (one without an
+id only where none has one); the fourth repeats documents of
+scarce sources and drops none; an empty table passes all stages; columns may have any
+names.
 """
 
 from __future__ import annotations
@@ -15,33 +17,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm import jaccard, langid, mixing, packing, toxicity
-from rillflow.llm.common import materialize
+from rillflow.llm.common import discard, materialize
 from rillflow.llm.queries import bpe_path
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a recognisable language."""
     model = langid.train(docs, F.lit(True))
-    read = langid.predict(docs, model, docs.columns, ("_stage_lang", "_stage_score"))
-    return read.where((F.col("_stage_lang") != langid.UNKNOWN) & (F.col("_stage_score") >= 0.5)).select(*docs.columns)
+    lang, score = fresh(docs, "_stage_lang"), fresh(docs, "_stage_score")
+    read = langid.predict(docs, model, docs.columns, (lang, score))
+    return read.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= 0.5)).select(*docs.columns)
 
 
 def nnpu_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that are likelier toxic than not."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return toxicity.score(docs, model, docs.columns, "_stage_score").where("_stage_score < 0.5").select(*docs.columns)
+    score = fresh(docs, "_stage_score")
+    return toxicity.score(docs, model, docs.columns, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies."""
-    found = materialize(jaccard.join(docs, width=5, percent=80))
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_stage_copies"))
-    several = kept.where("_stage_copies > 1").select("doc_id")
-    out = docs.join(kept.where("_stage_copies = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    out = out.union(docs.where("doc_id is null"))
-    if several.take(1):
-        out = out.union(docs.join(several, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
-    return out
+    key = fresh(docs, "_stage_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = jaccard.join(keyed, width=5, percent=80, id_col=key).groupBy(key).agg(F.min("component_id").alias("_group"), F.count("*").alias("_copies"))
+    ids = keyed.groupBy(key).agg(F.min("doc_id").alias("_id"))
+    order = F.struct(F.col("_id").isNull(), "_id", key)
+    best = found.join(ids, key).groupBy("_group").agg(F.min_by(F.struct(key, "_copies"), order).alias("_best"))
+    kept = materialize(best.select(f"_best.{key}", "_best._copies"))
+    out = keyed.join(kept.where("_copies = 1").select(key), key, "left_semi").select(*docs.columns)
+    several = kept.where("_copies > 1").select(key)
+    if several.isEmpty():
+        return out
+    return out.union(keyed.join(several, key, "left_semi").dropDuplicates([key]).select(*docs.columns))
 
 
 def temperature_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +85,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each on the table that the one before wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs)
+            discard(before)
     return docs
