@@ -8,6 +8,7 @@ below /tmp/checkpoints is chosen.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -74,6 +75,14 @@ def bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that idles after a task would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches with at most ``max_bytes`` of text, or one longer text.
 
@@ -89,6 +98,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 2
                 end += 1
             yield batch.slice(at, end - at), raw[at:end]
             at = end
+    give_back()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches
+from .common import chunks, give_back, small_batches
 from .tokens import _LETTER, _classes
 
-SAMPLE = 8192
+SAMPLE = 4096
 LEAST = 64
-EPOCHS = 5
+EPOCHS = 8
 BITS = 16
 LONGEST = 3
 UNKNOWN = "und"
@@ -197,15 +197,17 @@ def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
         for batch in batches:
             for deal, lang, f, v in zip(*(batch.column(c) for c in ("deal", "lang", "features", "shares")), strict=True):
                 at = f.values.to_numpy()
-                read.append((deal.as_py(), langs.index(lang.as_py()), at, v.values.to_numpy()))
+                read.append((deal.as_py(), langs.index(lang.as_py()), at.copy(), (v.values.to_numpy() * idf[at] * scale).astype(np.float32)))
         read.sort(key=lambda r: (r[0], r[1], len(r[2])))
         kept, back = [r for k, r in enumerate(read) if k % 5], [r for k, r in enumerate(read) if not k % 5]
         if not kept:
             kept, back = read, []
-        weights, bias = ftrl([(at, v * idf[at] * scale) for _, _, at, v in kept], np.array([r[1] for r in kept]), len(langs))
-        logits = np.array([[weights[j][at] @ (v * idf[at] * scale) + bias[j] for j in range(len(langs))] for _, _, at, v in back]).reshape(len(back), len(langs))
+        weights, bias = ftrl([(at, v) for _, _, at, v in kept], np.array([r[1] for r in kept]), len(langs))
+        logits = np.array([[weights[j][at] @ v + bias[j] for j in range(len(langs))] for _, _, at, v in back]).reshape(len(back), len(langs))
         t = temperature(logits, np.array([r[1] for r in back], np.int64))
         yield pa.record_batch([pa.array([(weights * idf * scale).tobytes()]), pa.array([bias.tobytes()]), pa.array([t])], names=["weights", "bias", "temperature"])
+        del read, kept, back
+        give_back()
 
     vectorised = chosen.select(F.xxhash64("doc_id", "text").alias("deal"), "lang", "text").mapInArrow(vectors, "deal long, lang string, features array<int>, shares array<float>")
     # at most about `sample` rows, or LEAST for each language, go to the learner's task
