@@ -280,9 +280,9 @@ def side(entries: DataFrame, name: str, *more: str, before: bool = False) -> Dat
 
 
 def lists(own: DataFrame, percent: int) -> DataFrame:
-    """(list, node, n, at, band, parity, b1, b2, ...): the inverted lists with at least two entries.
+    """(list, node, n, at, own, band, parity, b1, b2, ...): the inverted lists with at least two entries.
 
-    ``at`` is the place of the shingle in the order of its set, b1, b2, ... are the
+    ``own`` counts the region's shingles that no other set has, ``at`` is the place of the shingle in the order of its set, b1, b2, ... are the
     lists right before it there; only sets of at most ``FINE_ABOVE`` have the bitmap. Most shingles have one entry; only their number in a
     set bears on the places of the others.
     """
@@ -299,8 +299,8 @@ def lists(own: DataFrame, percent: int) -> DataFrame:
     })
     at = F.when(F.col("inside"), F.col("r") - F.col("several") + F.col("rank")).otherwise(F.col("pos"))
     band = F.floor(F.log("n") / np.log(100 / percent)).alias("band")
-    kept = ranked.withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(percent * F.col("n") / 100))
-    out = materialize(kept.select("list", "node", "n", "at", band, "parity", *(f"b{i}" for i in range(1, BEFORE + 1))))
+    kept = ranked.withColumn("at", at).withColumn("own", F.col("r") - F.col("several")).where(F.col("at") <= F.col("n") - F.ceil(percent * F.col("n") / 100))
+    out = materialize(kept.select("list", "node", "n", "at", "own", band, "parity", *(f"b{i}" for i in range(1, BEFORE + 1))))
     discard(met)
     return out
 
@@ -308,9 +308,9 @@ def lists(own: DataFrame, percent: int) -> DataFrame:
 def stars(entries: DataFrame, percent: int) -> DataFrame:
     """(u, v): each entry with the first entry of about its size of most of its lists.
 
-    First is the set that has the fewest rarer shingles: what copies were made from.
+    First is the set that has the fewest shingles of its own: what copies were made from.
     """
-    lowest = entries.groupBy("list", "band").agg(F.min(F.struct("at", "node", "n")).alias("low")).select("list", "band", "low.*")
+    lowest = entries.groupBy("list", "band").agg(F.min(F.struct("own", "node", "n", "at")).alias("low")).select("list", "band", "low.*")
     met = side(entries, "v", "band").join(side(lowest, "u", "band"), ["list", "band"]).where((F.col("u") != F.col("v")) & may_link("u", "v", percent))
     often = met.groupBy("v", "u").agg(F.count("*").alias("c"))
     return often.groupBy("v").agg(F.max_by("u", F.struct("c", -F.col("u"))).alias("u")).select("u", "v")

@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import _BASE, _INVERSE, _SPACE, _power, chunks, discard, materialize, mix, small_batches
 
-SAMPLE = 8192
+SAMPLE = 4096
 BITS = 18
 FEATURES = 4096
 SURE = 3.0
-PART = 32768
-BLOCK = 8192
+PART = 65536
+BLOCK = 16384
 ROUNDS = 2
-STEPS = 150
+STEPS = 75
 BEGINNINGS = (3, 4, 5, 6, 8)
 
 
