@@ -12,7 +12,7 @@ sets share one of their first ``first(n)`` shingles, so only those have lists. T
 order begins with a region, a fixed fraction of all hashes, from the rarest shingle to
 the most frequent, by exact counts over all documents; the other shingles follow in
 the order of their hashes. The lists are scanned in two rounds: first every entry is
-compared with the list's first entry of about its size, which ties groups of copies
+compared with a few stars of its list, which ties groups of copies
 together; then entries outside the list's main component are compared with the
 entries of other components, each pair in its first lists only. Bitmaps bound how
 much two sets share; the pairs that are left are decided by their whole sets. The
@@ -20,7 +20,7 @@ boundary takes the least cost over the histogram of sizes.
 
 Sets that are equal are one node, so thousands of copies cost no pairs.
 
-``LIGHT``, ``BITMAP`` and the sizes of the bitmaps bear on speed alone: results are
+``LIGHT``, ``STARS``, ``BITMAP`` and the sizes of the bitmaps bear on speed alone: results are
 exact at every size.
 
 Defined results: a null text is empty; a document without words has no set and
@@ -51,6 +51,7 @@ FINE = 8192
 FINE_ABOVE = 512
 BITMAP = 26
 BEFORE = 3
+STARS = 16
 SCAN_COST = 8
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _MASK = (1 << 64) - 1
@@ -267,10 +268,14 @@ def may_link(u: str, v: str, percent: int) -> Column:
     return (F.col(f"{u}_at") <= a - least) & (F.col(f"{v}_at") <= b - least)
 
 
+def apart_by_parity(u: str, v: str) -> Column:
+    """In how many bits {u}_parity and {v}_parity differ; null where one is missing."""
+    return reduce(lambda p, q: p + q, (F.bit_count(F.get(f"{u}_parity", F.lit(i)).bitwiseXOR(F.get(f"{v}_parity", F.lit(i)))) for i in range(PARITY // 64)))
+
+
 def alike(u: str, v: str, percent: int) -> Column:
     """Whether two sets differ in few enough bits of {u}_parity; true where one is too large for it."""
-    differ = reduce(lambda p, q: p + q, (F.bit_count(F.get(f"{u}_parity", F.lit(i)).bitwiseXOR(F.get(f"{v}_parity", F.lit(i)))) for i in range(PARITY // 64)))
-    return F.coalesce(differ <= F.col(f"{u}_n") + F.col(f"{v}_n") - 2 * needed(f"{u}_n", f"{v}_n", percent), F.lit(True))
+    return F.coalesce(apart_by_parity(u, v) <= F.col(f"{u}_n") + F.col(f"{v}_n") - 2 * needed(f"{u}_n", f"{v}_n", percent), F.lit(True))
 
 
 def side(entries: DataFrame, name: str, *more: str, before: bool = False) -> DataFrame:
@@ -280,9 +285,9 @@ def side(entries: DataFrame, name: str, *more: str, before: bool = False) -> Dat
 
 
 def lists(own: DataFrame, percent: int) -> DataFrame:
-    """(list, node, n, at, own, band, parity, b1, b2, ...): the inverted lists with at least two entries.
+    """(list, node, n, at, parity, b1, b2, ...): the inverted lists with at least two entries.
 
-    ``own`` counts the region's shingles that no other set has, ``at`` is the place of the shingle in the order of its set, b1, b2, ... are the
+    ``at`` is the place of the shingle in the order of its set, b1, b2, ... are the
     lists right before it there; only sets of at most ``FINE_ABOVE`` have the bitmap. Most shingles have one entry; only their number in a
     set bears on the places of the others.
     """
@@ -298,22 +303,28 @@ def lists(own: DataFrame, percent: int) -> DataFrame:
         **{f"b{i}": F.lag("list", i).over(order) for i in range(1, BEFORE + 1)},
     })
     at = F.when(F.col("inside"), F.col("r") - F.col("several") + F.col("rank")).otherwise(F.col("pos"))
-    band = F.floor(F.log("n") / np.log(100 / percent)).alias("band")
-    kept = ranked.withColumn("at", at).withColumn("own", F.col("r") - F.col("several")).where(F.col("at") <= F.col("n") - F.ceil(percent * F.col("n") / 100))
-    out = materialize(kept.select("list", "node", "n", "at", "own", band, "parity", *(f"b{i}" for i in range(1, BEFORE + 1))))
+    kept = ranked.withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(percent * F.col("n") / 100))
+    out = materialize(kept.select("list", "node", "n", "at", "parity", *(f"b{i}" for i in range(1, BEFORE + 1))))
     discard(met)
     return out
 
 
 def stars(entries: DataFrame, percent: int) -> DataFrame:
-    """(u, v): each entry with the first entry of about its size of most of its lists.
+    """(u, v): each entry with two of the stars that its lists share with it.
 
-    First is the set that has the fewest shingles of its own: what copies were made from.
+    A list has about ``STARS`` stars, those nodes whose hashes are below a bound that
+    falls with the list's length, so that alike lists have the same ones. Of those that
+    may link with an entry it takes the nearest by their bitmaps and the one with the
+    lowest hash; the first ties it most surely, the second to most others.
     """
-    lowest = entries.groupBy("list", "band").agg(F.min(F.struct("own", "node", "n", "at")).alias("low")).select("list", "band", "low.*")
-    met = side(entries, "v", "band").join(side(lowest, "u", "band"), ["list", "band"]).where((F.col("u") != F.col("v")) & may_link("u", "v", percent))
-    often = met.groupBy("v", "u").agg(F.count("*").alias("c"))
-    return often.groupBy("v").agg(F.max_by("u", F.struct("c", -F.col("u"))).alias("u")).select("u", "v")
+    sizes = entries.groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
+    sized = entries.join(sizes, "list")
+    hashed = F.shiftrightunsigned(F.xxhash64("node", F.lit(1)), 1)
+    lead = side(sized.where(hashed.cast("double") * F.col("size") < STARS * 2.0**63), "u", before=True)
+    met = side(sized, "v", before=True).join(lead, "list").where((F.col("u") != F.col("v")) & may_link("u", "v", percent) & ~met_before() & alike("u", "v", percent))
+    each = met.select("u", "v", F.coalesce(apart_by_parity("u", "v"), F.lit(0)).alias("bits"), F.xxhash64("u", F.lit(1)).alias("h"))
+    best = each.groupBy("v").agg(F.min_by("u", F.struct("bits", "h")).alias("near"), F.min_by("u", F.struct(F.shiftrightunsigned("h", 1), "h")).alias("low"))
+    return best.select(F.explode(F.array_distinct(F.array("near", "low"))).alias("u"), "v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def met_before() -> Column:
