@@ -83,7 +83,7 @@ def give_back() -> None:
         trim(0)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches with at most ``max_bytes`` of text, or one longer text.
 
     A null text comes as empty bytes.
