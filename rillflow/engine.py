@@ -20,6 +20,7 @@ from .functions.scripts import BadScript, Script, coerce
 from .operators import features, models
 from .plans import parser as p
 from .sources import uris
+from .sources.shared import shared_dir
 from .streaming.windows import OngoingWindow
 
 
@@ -58,11 +59,13 @@ class Engine:
     """One session: sources, streams, models and functions by name.
 
     ``stamp`` is the column with event times (text, ISO 8601 without zone);
-    ``output`` gets lines of LOG STREAM.
+    ``output`` gets lines of LOG STREAM. ``fired`` gets a stream's name and the calls
+    of a trigger, a row with the arguments for each; it must run them once.
     """
 
-    def __init__(self, spark: SparkSession, stamp: str = "event_timestamp", output: Callable[[str], object] = print):
+    def __init__(self, spark: SparkSession, stamp: str = "event_timestamp", output: Callable[[str], object] = print, fired: Callable[[str, DataFrame], object] | None = None):
         self.spark, self.stamp, self.output = spark, stamp, output
+        self.fired = fired or (lambda stream, calls: calls.write.format("noop").mode("overwrite").save())
         spark.conf.set("spark.sql.ansi.enabled", "false")
         self.sources: dict[str, Source] = {}
         self.roots: dict[str, str] = {}
@@ -302,7 +305,8 @@ class Engine:
         def step(batch: Batch) -> None:
             rows = batch.tables[s.stream]
             rows = rows.where(s.when) if s.when else rows
-            rows.select(F.expr(f"{s.function}({', '.join(s.arguments)})").alias("_t")).write.format("noop").mode("overwrite").save()
+            given = [F.expr(a).alias(n) for n, a in zip(self.scripts[s.function][1].names, s.arguments, strict=True)]
+            self.fired(s.stream, rows.select(*given, F.expr(f"{s.function}({', '.join(s.arguments)})").alias("_t")))
 
         self._add(self._source_of([s.stream]), s, step)
         return "CREATE TRIGGER"
@@ -398,10 +402,7 @@ class Engine:
             self._pass(source, rows, last=False, keep=models._kept)
 
         self.live_began = time.time()
-        writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", f"/tmp/checkpoints/rillflow-{uuid.uuid4().hex}")
-        shared = self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if shared:
-            writer = writer.option("checkpointLocation", f"{shared}/rillflow-{uuid.uuid4().hex}")
+        writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", f"{shared_dir(self.spark)}/rillflow-{uuid.uuid4().hex}")
         self.running = writer.trigger(processingTime="2 seconds").start()
 
     def _stop(self) -> tuple[int, int] | None:

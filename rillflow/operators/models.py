@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
 from .features import DATUM, vector, with_datum
 
 UPDATES = {"CLASSIFIER": ("train",), "ANOMALY": ("add",), "RECOMMENDER": ("update_row",)}
@@ -229,9 +230,7 @@ class Anomaly(Model):
 
 def _kept(df: DataFrame) -> DataFrame:
     """Cut the lineage at files in the folder that spark.checkpoint.dir names."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir("/tmp/checkpoints/rillflow")
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

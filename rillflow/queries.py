@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from .engine import Engine
 from .functions.scripts import Script
 from .operators import features, models
 from .sources import uris
+from .sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,11 +145,11 @@ select("sel_case_cast", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE
 select("sel_predicates", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 20 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#11', 'Brand#12') OR p_name LIKE '%a%' AND NOT p_type IS NULL")
 select("sel_string_math", "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, substring(c_name, 1, 5) AS s, abs(c_acctbal) AS a, round(sqrt(abs(c_acctbal)), 6) AS r, c_custkey % 7 AS m FROM customer")
 select("sel_conditional", "SELECT c_custkey, if(c_acctbal < 0, 'debt', 'fine') AS state, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS seg FROM customer", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'fine' END AS state, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS seg FROM customer")
-select("sel_rlike", "SELECT p_partkey FROM part WHERE p_name RLIKE '[0-9]*5$'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '[0-9]*5$')")
+select("sel_rlike", "SELECT p_partkey FROM part WHERE p_brand RLIKE '[0-9]*5$'", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '[0-9]*5$')")
 select("sel_group_having", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q, round(avg(l_discount), 6) AS d, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10")
 select("sel_count_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderstatus")
 select("sel_approx_count", "SELECT o_orderstatus, approx_count_distinct(o_custkey) AS n FROM orders GROUP BY o_orderstatus", oracle=False)
-select("sel_first_last", "SELECT l_orderkey, first(l_linenumber) AS f, last(l_linenumber) AS l FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber) AS t GROUP BY l_orderkey", "SELECT l_orderkey, arg_min(l_linenumber, l_linenumber) AS f, arg_max(l_linenumber, l_linenumber) AS l FROM lineitem GROUP BY l_orderkey", oracle=False)
+select("sel_first_last", "SELECT DISTINCT l_orderkey, first(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS f, last(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM lineitem", "SELECT l_orderkey, arg_min(l_linenumber, l_linenumber) AS f, arg_max(l_linenumber, l_linenumber) AS l FROM lineitem GROUP BY l_orderkey")
 select("sel_join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
 select("sel_join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT OUTER JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 select("sel_join_right", "SELECT n_name, s_name FROM supplier RIGHT OUTER JOIN nation ON s_nationkey = n_nationkey")
@@ -158,7 +160,7 @@ select("sel_join_cross", "SELECT r_name, n_name FROM region, nation")
 select("sel_union_all", "SELECT k FROM (SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region) AS t")
 select("sel_union", "SELECT k FROM (SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region) AS t")
 select("sel_intersect", "SELECT k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) AS t")
-select("sel_except", "SELECT k FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier) AS t")
+select("sel_except", "SELECT k FROM (SELECT p_size AS k FROM part EXCEPT SELECT n_nationkey FROM nation) AS t")
 select("sel_subquery", "SELECT t.p_brand, t.n FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) AS t WHERE t.n > 3")
 select("sel_order_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 add("sel_join_self", statements("CREATE STREAM a FROM SELECT event_id, user_id FROM events WHERE value > 90", "CREATE STREAM b FROM SELECT event_id AS other, user_id AS u FROM events WHERE value < 10", "CREATE STREAM s FROM SELECT event_id, other FROM a JOIN b ON user_id = u"), "SELECT a.event_id, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id WHERE a.value > 90 AND b.value < 10")
@@ -179,11 +181,19 @@ add("src_json_missing", _json([("k", "numeric"), ("absent", "string")]), "SELECT
 
 
 def _handover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live rows after the largest time of the stored ones (here: the first half of the ids)."""
-    rows = table(spark, sf_dir, "events").withColumn("t", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-    largest = rows.where("event_id % 2 = 0").agg(F.max("t").alias("m"))
-    stored = rows.where("event_id % 2 = 0").select("event_id")
-    return stored.union(rows.where("event_id % 2 = 1").join(F.broadcast(largest), F.col("t") > F.col("m")).select("event_id"))
+    """A source that reads stored rows (here: even ids) and then live ones that come after them."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("event_timestamp"))
+    place = f"{shared_dir(spark)}/handover-{uuid.uuid4().hex}"
+    place = place if ":/" in place else f"file://{place}"
+    for name, part in (("stored", "event_id % 2 = 0"), ("live", "event_id % 2 = 1")):
+        rows.where(part).select(F.to_json(F.struct("event_id", "event_timestamp")).alias("value")).write.text(f"{place}/{name}")
+    place = place if place.startswith("file://") else place.replace("file:/", "file:///")
+    made = Engine(spark, output=lambda line: None)
+    run(made, f'CREATE DATASOURCE events (event_id numeric, event_timestamp string) FROM (STORAGE: "{place}/stored", STREAM: "{place}/live")', "CREATE STREAM s FROM SELECT CAST(event_id AS BIGINT) AS event_id FROM events")
+    made.running.processAllAvailable()
+    made.execute("STOP PROCESSING")
+    return made.table("s").select("event_id")
 
 
 add("src_handover_dedup", _handover, "SELECT event_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id FROM events WHERE event_id % 2 = 1 AND ts > (SELECT max(ts) FROM events WHERE event_id % 2 = 0)")
@@ -202,9 +212,11 @@ add("udf_error_default", _function("numeric", "return 1 / (0 if t == 'click' els
 
 
 def _trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows for which a trigger with a condition fires."""
-    made = run(engine(spark, sf_dir), "CREATE STREAM s FROM SELECT event_id, value FROM events WHERE value > 75", "CREATE TRIGGER FUNCTION t(v numeric) LANGUAGE Python AS $$return v$$", "CREATE TRIGGER ON s FOR EACH ROW WHEN value < 80 EXECUTE t(value)")
-    return made.table("s").where("value < 80").select("event_id")
+    """The arguments of all calls of a trigger with a condition."""
+    made, calls = engine(spark, sf_dir), []
+    made.fired = lambda _, df: calls.append(models._kept(df))
+    run(made, "CREATE STREAM s FROM SELECT event_id, value FROM events WHERE value > 75", "CREATE TRIGGER FUNCTION t(i numeric) LANGUAGE Python AS $$return i$$", "CREATE TRIGGER ON s FOR EACH ROW WHEN value < 80 EXECUTE t(event_id)")
+    return calls[0].select(F.col("i").alias("event_id"))
 
 
 add("trigger_when", _trigger, "SELECT event_id FROM events WHERE value > 75 AND value < 80")
