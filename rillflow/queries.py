@@ -223,14 +223,14 @@ add("trigger_when", _trigger, "SELECT event_id FROM events WHERE value > 75 AND
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of LOG STREAM over a small stream."""
+    """Lines of LOG STREAM over all events: the first hundred rows, and an ellipsis if there are more."""
     made, lines = engine(spark, sf_dir), []
     made.output = lines.append
-    run(made, "CREATE STREAM s FROM SELECT event_id FROM events WHERE event_id < 20 ORDER BY event_id", "LOG STREAM s")
+    run(made, "CREATE STREAM s FROM SELECT event_id FROM events ORDER BY event_id", "LOG STREAM s")
     return spark.createDataFrame([(x,) for x in lines[0].split("\n")[2:]], "line string")
 
 
-add("log_stream", _log, "SELECT CAST(event_id AS VARCHAR) AS line FROM events WHERE event_id < 20")
+add("log_stream", _log, "SELECT line FROM (SELECT CAST(event_id AS VARCHAR) AS line FROM events ORDER BY event_id LIMIT 100) UNION ALL SELECT '...' AS line WHERE (SELECT count(*) FROM events) > 100")
 
 
 # ---------------------------------------------------------------- features and models
