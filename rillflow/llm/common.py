@@ -2,8 +2,8 @@
 
 All scratch tables go to the folder that ``spark.checkpoint.dir`` names, which
 every executor and the driver can read, so a lost executor loses nothing that a
-later stage needs. Only where the setting is absent (tests, a notebook) a folder
-below /tmp/checkpoints is chosen.
+later stage needs. Only where the setting is absent and there are no other machines
+(tests, a notebook) a folder below /tmp/checkpoints is chosen.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"/tmp/checkpoints/rillflow-{uuid.uuid4().hex}"
         sc.setCheckpointDir(named)
     return named.rstrip("/")

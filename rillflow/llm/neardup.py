@@ -3,10 +3,12 @@
 A first graph comes from random hyperplanes: vectors on the same sides of them are
 compared in blocks. Then, in rounds, the neighbours of each vector (those in its
 list, and those in whose lists it is) are compared with each other, and each list
-keeps its best. A list is saturated if all it holds are links; the vectors of a
-component that has such a list are compared in blocks, so their links are counted
-without a list of any length, and search again with lists that hold only vectors of
-other components, until no two of these components link. A sample of vectors is audited against all rows; while
+keeps its best. A list is saturated if all it holds are links; saturated lists are
+enlarged, twice as long each time, and refined again among themselves, until they hold
+other vectors too or are ``LARGEST`` long. As a list of any length would not do for a
+group of thousands, the vectors of a component that had a saturated list are also
+compared in blocks, so their links are counted in whole, and search again with lists
+that hold only vectors of other components, until no two of these components link. A sample of vectors is audited against all rows; while
 it finds less than ``recall`` of the links of vectors with about as many links, more
 hyperplanes and rounds follow; a target that is not met is logged as a warning.
 
@@ -35,6 +37,7 @@ from .common import discard, materialize
 from .components import components
 
 NEIGHBOURS = 8
+LARGEST = 64
 PLANES = 8
 LEAF = 192
 BLOCK = 512
@@ -154,6 +157,24 @@ def refine(edges: DataFrame, vectors: DataFrame, total: int, k: int, rounds: int
     return edges
 
 
+def saturated(edges: DataFrame, k: int, cosine: float) -> DataFrame:
+    """(u) of the lists of length k that hold links only."""
+    return edges.where(F.col("sim") >= cosine).groupBy("u").agg(F.count("*").alias("c")).where(F.col("c") >= k).select("u")
+
+
+def enlarged(edges: DataFrame, vectors: DataFrame, total: int, k: int, cosine: float) -> DataFrame:
+    """(u, v): links of the longer lists that saturated lists of ``edges`` grow into."""
+    found = edges.select("u", "v").limit(0)
+    lists = materialize(edges.join(saturated(edges, k, cosine), "u", "left_semi"))
+    while k < LARGEST and not lists.isEmpty():
+        k *= 2
+        better = lists.union(descend(lists, vectors, total, k)).join(lists.select("u").distinct(), "u", "left_semi")
+        better = materialize(top(better, k))
+        found = found.union(better.where(F.col("sim") >= cosine).select("u", "v"))
+        lists = materialize(better.join(saturated(better, k, cosine), "u", "left_semi"))
+    return materialize(found.distinct())
+
+
 def between(vectors: DataFrame, dims: int, cosine: float, k: int, recall: float, seed: int) -> DataFrame:
     """(u, v): links found between vectors(cid, own, x) of different ``own``, each way."""
     total = vectors.count()
@@ -241,12 +262,14 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, k: int = NEIGHBOURS,
         edges = refine(fresh if edges is None else edges.union(fresh), each, total, k)
         near = edges.where(F.col("sim") >= cosine)
         links = near.select("u", "v").union(near.select("v", "u"))
+        wide = enlarged(edges, each, total, k, cosine)
+        links = links.union(wide).union(wide.select("v", "u"))
         links = materialize((links if crossing is None else links.union(crossing)).distinct())
-        full = near.groupBy("u").agg(F.count("*").alias("c")).where(F.col("c") >= k).select(F.col("u").alias("node"))
+        full = saturated(edges, k, cosine).withColumnRenamed("u", "node")
         while True:
             tied = materialize(components(links))
-            saturated = tied.join(full, "node", "left_semi").select("component").distinct()
-            members = materialize(tied.join(saturated, "component", "left_semi").select(F.col("node").alias("cid"), "component"))
+            dense = tied.join(full, "node", "left_semi").select("component").distinct()
+            members = materialize(tied.join(dense, "component", "left_semi").select(F.col("node").alias("cid"), "component"))
             if members.select("component").distinct().limit(2).count() < 2:
                 break
             # a link that full lists left out is between two of these components; each round merges some

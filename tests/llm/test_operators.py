@@ -595,6 +595,18 @@ def test_large_groups_do_not_hide_missed_pairs(spark):
         assert (1 - meet) ** neardup.planes_for(neardup.LEAF << bits, 0.95, 0.98) <= 0.02
 
 
+def test_saturated_lists_grow(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal(16) + rng.standard_normal((n, 16)) * 0.02 for n in (30, 3, 1, 1, 1, 1, 1, 1, 1)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, i, v) for i, v in enumerate(x.tolist())], "cid long, own long, x array<double>")
+    edges = neardup.refine(neardup.by_planes(vectors, len(x), 16, 8, 1), vectors, len(x), 8)
+    assert {r.u for r in neardup.saturated(edges, 8, 0.95).collect()} == set(range(30))
+    got = {(r.u, r.v) for r in neardup.enlarged(edges, vectors, len(x), 8, 0.95).collect()}
+    near = {(int(a), int(b)) for a, b in zip(*np.nonzero(x @ x.T >= 0.95), strict=True) if a != b and a < 30}
+    assert got <= near and len(got) >= 0.95 * len(near)
+
+
 def test_clumps_that_fill_their_own_lists_link(spark):
     rng = np.random.default_rng(3)
     c = np.zeros((2, 48))
