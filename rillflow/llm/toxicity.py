@@ -9,7 +9,7 @@ beginnings minimises the class-prior-corrected risk
 and takes a step against the second term where it is below zero. Every learnable text
 is learned from as unlabelled: the texts are dealt at random to parts of about ``PART``
 rows, each task descends from the common model over its part, ``BLOCK`` rows at a time,
-with numpy, and the models of the parts are averaged, ``ROUNDS`` times. Positives are at
+with numpy, and the models of all blocks are averaged, ``ROUNDS`` times. Positives are at
 most about ``SAMPLE`` confirmed texts, chosen by a hash of their ids. The model's size
 is fixed: ``FEATURES`` of ``1 << BITS`` hashed features at most, those whose counts over
 all texts differ most surely between positives and all texts (``SURE`` deviations).
@@ -196,10 +196,12 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = S
             w, b = start.value  # noqa: B023
             held: list[np.ndarray] = []
             texts = 0
+            sums = np.zeros(len(w) + 1)
 
             def step() -> None:
-                nonlocal w, b, held, texts
+                nonlocal w, b, held, texts, sums
                 w, b = descend(w, b, positive.value, Rows.of(held), prior, STEPS)
+                sums += np.append(w, b) * len(held)
                 texts += len(held)
                 held = []
 
@@ -213,8 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = S
             if held:
                 step()
             if texts:
-                values = np.append(w, b) * texts
-                yield pa.record_batch([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), texts))], names=["at", "value", "texts"])
+                yield pa.record_batch([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums), pa.array(np.full(len(sums), texts))], names=["at", "value", "texts"])
 
         sums = reduced.select("features").mapInArrow(learn, "at int, value double, texts long").groupBy("at").agg((F.sum("value") / F.sum("texts")).alias("value")).toArrow()  # a row for each feature of the model
         mean = np.zeros(len(used) + 1)
