@@ -47,13 +47,22 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return back
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its store, as other readers than Spark need it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().toString()
+
+
+def erase(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_scratch", None):
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            erase(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:

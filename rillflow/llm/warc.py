@@ -3,8 +3,16 @@
 An archive that was compressed as one gzip stream cannot be read from the middle.
 The normaliser inflates such a stream once, from start to end, writes each record
 as a gzip member of its own and notes where it lies, so that any record can be
-read alone. ``normalise`` works on byte streams of any length, ``normalised`` on
-tables of (archive, content), as ``spark.read.format("binaryFile")`` gives them.
+read alone. ``normalise`` works on byte streams of any length. On a cluster the
+archives are files: ``archives`` writes whole-stream ``.warc.gz`` files,
+``normalised`` writes for each a ``.warc.gz`` of members and a sidecar ``.idx`` (JSON
+lines) beside it, ``indexed`` reads the sidecars and ``read_pages`` the records by
+their offsets. Tasks stream: they hold one record or a megabyte, never an archive.
+A task's files have names of their own, and only the rows of tasks that ended name
+files, so a task that runs again or twice does no harm.
+
+Files are opened by ``pyarrow.fs`` (local or shared mounts, HDFS, S3, GCS, ABFS); in
+another kind of store the operator fails.
 
 Of pages with equal payloads the one with the smallest id is stored as response,
 all others as revisit records that refer to it.
@@ -18,17 +26,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
+import itertools
+import json
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import erase, materialize, qualified, shared_dir, small_batches
 
 ARCHIVE_BYTES = 16 << 20
+READ_BYTES = 4 << 20  # of a normalised archive, read by one task
+TASKS = 1 << 14  # no more tasks than this; beyond it each takes several archives
+HOT = 1 << 17  # at most so many digests, the most frequent ones, are broadcast: about 20 MB
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _PAGE = "urn:x-page:"
 
@@ -141,74 +157,120 @@ def normalise(pieces: Iterator[bytes], write: Callable[[bytes], object]) -> Iter
         at += len(data)
 
 
-# ---------------------------------------------------------------- tables of archives
-
-INDEX = "array<struct<offset: long, length: long, type: string, id: string>>"
+# ---------------------------------------------------------------- archives as files
 
 
 def with_referred(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, url, html, refers_to): the page whose equal payload is stored, or null."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("_sha1", F.sha1(F.col("html").cast("binary")))
-    long_enough = F.octet_length("html") >= least
-    first = rows.where(long_enough & F.col("page_id").isNotNull()).groupBy(F.col("_sha1").alias("_first_sha1")).agg(F.min("page_id").alias("_first"))
-    rows = rows.join(first, (F.col("_sha1") == F.col("_first_sha1")) & long_enough, "left")
+    """(page_id, url, html, refers_to): the page whose equal payload is stored, or null.
+
+    Only ids and digests are grouped. A digest is frequent if it has over one in ``HOT``
+    of all copies, so there are fewer than ``HOT`` of those; they are broadcast, and
+    only where there are others a join moves pages, none of its keys being a hot one.
+    """
+    key = F.when(F.octet_length("html") >= least, F.sha1(F.col("html").cast("binary")))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("_key", key)
+    first = rows.where("_key is not null and page_id is not null").groupBy("_key").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
+    copies = materialize(first.where("_n > 1"))
+    total = copies.agg(F.sum("_n")).first()[0] or 0
+    frequent = F.col("_n") * HOT > total
+    rows = rows.join(F.broadcast(copies.where(frequent).select("_key", "_first")), "_key", "left")
+    rare = copies.where(~frequent).select(F.col("_key").alias("_rare"), F.col("_first").alias("_rare_first"))
+    if not rare.isEmpty():
+        # what needs no partner here is spread by its id
+        asked = F.when(F.col("_first").isNull(), F.col("_key"))
+        rows = rows.withColumn("_asked", F.coalesce(asked, F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+        rows = rows.join(rare, F.col("_asked") == F.col("_rare"), "left").withColumn("_first", F.coalesce("_first", "_rare_first"))
     return rows.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
 
 
-def archives(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write all pages to archives, each one whole gzip stream: (archive, content).
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri)
+
+
+def _pieces(stream: pa.NativeFile, step: int = 1 << 20) -> Iterator[bytes]:
+    while piece := stream.read(step):
+        yield piece
 
-    A task starts another archive after ``archive_bytes`` of records.
+
+def archives(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write all pages to files in ``folder``, each one whole gzip stream: (archive, records).
+
+    A task starts another file after ``archive_bytes`` of records. Each run of the
+    table writes files anew: materialise it.
     """
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        number, size, engine, out = 0, 0, None, []
-
-        def close() -> pa.RecordBatch:
-            nonlocal number, size, engine, out
-            out.append(engine.flush())
-            batch = pa.record_batch([pa.array([f"part-{part:05d}-{number:05d}.warc.gz"]), pa.array([b"".join(out)], pa.binary())], names=["archive", "content"])
-            number, size, engine, out = number + 1, 0, None, []
-            return batch
+        store, path = _store(folder)
+        store.create_dir(path)
+        rows = (row for batch in batches for row in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "html", "refers_to")), strict=True))
+        row = next(rows, None)
+        while row is not None:
+            name, size, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+            engine = zlib.compressobj(1, zlib.DEFLATED, 31)
+            with store.open_output_stream(f"{path}/{name}", compression=None) as out:
+                while row is not None and size < archive_bytes:
+                    page_id, url, html, refers_to = row
+                    data = page_record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to).to_bytes()
+                    out.write(engine.compress(data))
+                    size, count = size + len(data), count + 1
+                    row = next(rows, None)
+                out.write(engine.flush())
+            yield pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([count])], names=["archive", "records"])
+
+    return with_referred(pages, least).mapInArrow(run, "archive string, records long")
+
+
+def normalised(table: DataFrame, folder: str) -> DataFrame:
+    """Normalise the files named by ``archive`` into ``folder``: (archive, index, records, bytes).
+
+    ``index`` is the sidecar: a line {"offset", "length", "type", "id"} for each record.
+    A gzip stream can only be read from its start, so a file is one task's. Each run of
+    the table writes files anew: materialise it.
+    """
 
-        for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("page_id", "url", "html", "refers_to")]
-            for page_id, url, html, refers_to in zip(*columns, strict=True):
-                engine = engine or zlib.compressobj(1, zlib.DEFLATED, 31)
-                data = page_record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to).to_bytes()
-                out.append(engine.compress(data))
-                size += len(data)
-                if size >= archive_bytes:
-                    yield close()
-        if engine:
-            yield close()
-
-    return with_referred(pages, least).mapInArrow(run, "archive string, content binary")
-
-
-def normalised(table: DataFrame) -> DataFrame:
-    """Normalise archives: (archive, content, index), a member for each record."""
-    small_batches(table.sparkSession)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = _store(folder)
+        store.create_dir(path)
+        for source in (a for batch in batches for a in batch.column("archive").to_pylist()):
+            name, count, size = uuid.uuid4().hex, 0, 0
+            origin, at = _store(source)
+            with (
+                origin.open_input_stream(at, compression=None) as stream,
+                store.open_output_stream(f"{path}/{name}.warc.gz", compression=None) as out,
+                store.open_output_stream(f"{path}/{name}.idx", compression=None) as idx,
+            ):
+                for entry in normalise(_pieces(stream), out.write):
+                    idx.write(json.dumps(dict(zip(("offset", "length", "type", "id"), entry, strict=True))).encode() + b"\n")
+                    count, size = count + 1, entry[0] + entry[1]
+            values = [f"{folder}/{name}.warc.gz", f"{folder}/{name}.idx", count, size]
+            yield pa.record_batch([pa.array([v]) for v in values], names=["archive", "index", "records", "bytes"])
+
+    return table.select("archive").mapInArrow(run, "archive string, index string, records long, bytes long")
+
+
+def indexed(table: DataFrame) -> DataFrame:
+    """Read the sidecars of normalised archives: (archive, offset, length, type, id)."""
+    names, kinds = ["offset", "length", "type", "id"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
-                out: list[bytes] = []
-                index = [dict(zip(("offset", "length", "type", "id"), x, strict=True)) for x in normalise(iter([content.as_py() or b""]), out.append)]
-                kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("id", pa.string())]))
-                yield pa.record_batch([pa.array([archive]), pa.array([b"".join(out)], pa.binary()), pa.array([index], kind)], names=["archive", "content", "index"])
+            for archive, index in zip(batch.column("archive").to_pylist(), batch.column("index").to_pylist(), strict=True):
+                store, path = _store(index)
+                with store.open_input_stream(path, compression=None) as stream, io.TextIOWrapper(stream, "utf-8") as lines:
+                    while some := [json.loads(line) for line in itertools.islice(lines, 4096)]:
+                        columns = [pa.array([e[n] for e in some], k) for n, k in zip(names, kinds, strict=True)]
+                        yield pa.record_batch([pa.array([archive] * len(some)), *columns], names=["archive", *names])
 
-    return table.select("archive", "content").mapInArrow(run, f"archive string, content binary, index {INDEX}")
+    return table.select("archive", "index").mapInArrow(run, "archive string, offset long, length long, type string, id string")
 
 
 def read_pages(table: DataFrame) -> DataFrame:
-    """Read each record through the index: what it is and what it says of its payload."""
-    small_batches(table.sparkSession)
+    """Read each record by its place in the sidecar: what it is and what it says of its payload.
+
+    An archive of any size is read by many tasks, ``READ_BYTES`` by each. The payload of
+    a response is counted and digested anew and must agree with its head.
+    """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
@@ -216,25 +278,50 @@ def read_pages(table: DataFrame) -> DataFrame:
         text = (name or "").removeprefix(f"<{_PAGE}").removesuffix(">")
         return int(text) if text else None
 
+    def read(data: bytes, name: str) -> tuple:
+        (record,) = records(inflated(iter([data])))
+        h = record.headers
+        size, said = int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:")
+        if h["WARC-Record-ID"] != name:
+            raise ValueError(f"{name} is not where the index says")
+        if h["WARC-Type"] == "response" and (len(record.payload), digest(record.payload)) != (size, said):
+            raise ValueError(f"the payload of {name} is damaged")
+        return number(name), size, said, h["WARC-Type"], number(h.get("WARC-Refers-To"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content, index in zip(batch.column("content"), batch.column("index").to_pylist(), strict=True):
-                view, out = memoryview(content.as_buffer()), []
-                for entry in index:
-                    own = view[entry["offset"] : entry["offset"] + entry["length"]]
-                    (record,) = records(inflated(iter([bytes(own)])))
-                    h = record.headers
-                    said = h["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if h["WARC-Type"] == "response" and digest(record.payload) != said:
-                        raise ValueError(f"the payload of {entry['id']} is damaged")
-                    out.append((number(h["WARC-Record-ID"]), int(h["X-Payload-Length"]), said, h["WARC-Type"], number(h.get("WARC-Refers-To"))))
-                columns = zip(*out, strict=True)
-                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    return table.select("content", "index").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        opened, file = None, None
+        try:
+            for batch in batches:
+                out = []
+                for archive, offset, length, name in zip(*(batch.column(n).to_pylist() for n in ("archive", "offset", "length", "id")), strict=True):
+                    if archive != opened:
+                        if file:
+                            file.close()
+                        store, path = _store(archive)
+                        opened, file = archive, store.open_input_file(path)
+                    out.append(read(file.read_at(length, offset), name))
+                if out:
+                    yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        finally:
+            if file:
+                file.close()
+
+    small_batches(table.sparkSession)
+    tasks = (table.agg(F.sum("bytes")).first()[0] or 0) // READ_BYTES + 1
+    tasks = min(tasks, TASKS)
+    places = indexed(table).withColumn("_span", F.floor(F.col("offset") / READ_BYTES))
+    places = places.repartition(tasks, "archive", "_span").sortWithinPartitions("archive", "offset").drop("_span", "type")
+    return places.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write pages to whole-stream archives, normalise them, and read all records back."""
-    written = materialize(archives(pages, least))
-    return read_pages(materialize(normalised(written)))
+    """Write pages to whole-stream archives, normalise them, and read all records back.
+
+    The normalised archives and their sidecars stay in the shared folder.
+    """
+    spark = pages.sparkSession
+    folder = qualified(spark, f"{shared_dir(spark)}/rillflow/warc-{uuid.uuid4().hex}")
+    written = materialize(archives(pages, f"{folder}/whole", least))
+    table = materialize(normalised(written.repartition(min(max(1, written.count()), TASKS)), f"{folder}/members"))
+    erase(spark, f"{folder}/whole")
+    return read_pages(table)

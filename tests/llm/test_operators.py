@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import json
 import math
 import random
 import re
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rillflow.llm import chat, fingerprint, jaccard, langid, lm, mixing, neardup, packing, queries, tokens, toxicity, warc
+from rillflow.llm.common import materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, head string, n string, class_id long, row long, id string"
 SYLLABLES = {"aa": ["ka", "lo", "mi", "ten", "rau"], "bb": ["schn", "urg", "weft", "ilz", "och"], "cc": ["eau", "que", "oix", "ille", "ment"]}
@@ -443,6 +445,32 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_files_and_sidecars(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://x/{i}", f"<p>{'é' * (i % 7)}</p>" if i % 3 else "hot") for i in range(120)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    whole = materialize(warc.archives(df, f"{tmp_path}/whole", archive_bytes=3000))
+    table = materialize(warc.normalised(whole, f"{tmp_path}/members"))
+    named = table.collect()
+    assert len(named) > 3 and sum(r.records for r in named) == 121 == sum(r.records for r in whole.collect())
+    for r in named:
+        data = open(r.archive, "rb").read()
+        lines = [json.loads(x) for x in open(r["index"])]
+        assert len(lines) == r.records and len(data) == r.bytes == sum(x["length"] for x in lines)
+        for x in lines:  # gzip of the standard library, and each member alone
+            (record,) = warc.records(iter([gzip.decompress(data[x["offset"] : x["offset"] + x["length"]])]))
+            assert (record.headers["WARC-Type"], record.headers["WARC-Record-ID"]) == (x["type"], x["id"])
+    for r in whole.collect():  # one stream, not members
+        engine = zlib.decompressobj(31)
+        engine.decompress(open(r.archive, "rb").read())
+        assert engine.eof and not engine.unused_data
+    want = sorted([tuple(r) for r in warc.read_pages(table).collect()], key=key)
+    monkeypatch.setattr(warc, "READ_BYTES", 200)  # an archive in many tasks
+    assert sorted([tuple(r) for r in warc.read_pages(table).collect()], key=key) == want
+    monkeypatch.setattr(warc, "HOT", 3)  # only the most frequent digest is broadcast
+    assert sorted([tuple(r) for r in warc.round_trip(df).collect()], key=key) == want
+    assert sum(r[3] == "revisit" for r in want) == 120 - 8
+
+
 def test_normaliser_gives_members_that_stand_alone():
     made = [warc.page_record(i, f"http://x/{i}", bytes([i]) * (i * 10_000), None) for i in range(5)]
     whole = gzip.compress(b"".join(r.to_bytes() for r in made))
