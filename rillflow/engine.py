@@ -74,6 +74,7 @@ class Engine:
         self.running = None
         self.current: Source | None = None
         self.closing = False
+        self.state = "running"  # then "stop-and-poll" while a stream ends, "shutdown" for good
         self.times = [0, 0]
         self.results: dict[str, list[DataFrame]] = {}
         self.prefix = f"s{uuid.uuid4().hex[:8]}_"
@@ -406,6 +407,13 @@ class Engine:
         self.running = writer.trigger(processingTime="2 seconds").start()
 
     def _stop(self) -> tuple[int, int] | None:
+        self.state = "shutdown" if self.closing else "stop-and-poll"
+        try:
+            return self._stop_current()
+        finally:
+            self.state = "shutdown" if self.closing else "running"
+
+    def _stop_current(self) -> tuple[int, int] | None:
         if self.current is None:
             return None
         if self.running is not None:

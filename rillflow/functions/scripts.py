@@ -12,6 +12,8 @@ import subprocess
 import textwrap
 from dataclasses import dataclass
 
+from .helpers import JQL
+
 NODE = shutil.which("node")
 
 _SERVER = r"""
@@ -81,7 +83,7 @@ class Script:
         """``{"value": ...}`` or ``{"error": ...}`` for each row of arguments."""
         if self.language == "javascript":
             return _node(list(self.names), self.body, rows)
-        space: dict = {}
+        space: dict = {"jql": JQL}
         code = f"def {self.name}({', '.join(self.names)}):\n" + textwrap.indent(textwrap.dedent(self.body).strip("\n") or "pass", "    ")
         try:
             exec(compile(code, self.name, "exec"), space)  # noqa: S102

@@ -1,6 +1,8 @@
 """A thin HTTP front: one session behind one port, and a gateway over sessions.
 
-Session: ``POST /query`` with {"query": text}; ``GET /status`` in plain text.
+Session: ``POST /query`` with {"query": text}; ``GET /status`` in plain text, one of
+``running``, ``stop-and-poll``, ``shutdown``. A ``Processor`` is a session that says to
+a gateway where it listens.
 Gateway: ``POST /login`` gives {"session_id": ...}; ``POST /query`` with a
 session_id goes to that session; ``POST /registration/<key>`` with
 {"action": "register", "ip": ..., "port": ...} or {"action": "unregister"} says
@@ -43,23 +45,68 @@ class _Front(BaseHTTPRequestHandler):
         pass
 
 
-def listen(answer: Callable[[str, str, str], Response | str], port: int = 0) -> ThreadingHTTPServer:
+def listen(answer: Callable[[str, str, str], Response | str], port: int = 0, host: str = "127.0.0.1") -> ThreadingHTTPServer:
     """Serve ``answer(method, path, body)`` on a thread; port 0 takes a free one."""
     front = type("Front", (_Front,), {"answer": staticmethod(answer)})
-    server = ThreadingHTTPServer(("127.0.0.1", port), front)
+    server = ThreadingHTTPServer((host, port), front)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     return server
 
 
-def serve_engine(engine: Engine, port: int = 0) -> ThreadingHTTPServer:
+class Registration:
+    """Tells a gateway where this session listens, and when it is gone.
+
+    ``url`` is the gateway's ``/registration/<key>``. Both calls give None, or what went
+    wrong: a bad address, a gateway that is away, an answer other than 2xx.
+    """
+
+    def __init__(self, url: str, seconds: float = 30):
+        self.url, self.seconds = url, seconds
+
+    def register(self, ip: str, port: int) -> str | None:
+        return self._tell({"action": "register", "ip": ip, "port": port})
+
+    def unregister(self) -> str | None:
+        return self._tell({"action": "unregister"})
+
+    def _tell(self, what: dict) -> str | None:
+        try:
+            request = urllib.request.Request(self.url, json.dumps(what).encode(), {"Content-Type": "application/json"})
+            with urllib.request.urlopen(request, timeout=self.seconds):  # noqa: S310
+                return None
+        except (OSError, ValueError) as e:
+            return str(e)
+
+
+class Processor:
+    """An engine behind a port that registers with a gateway while it serves."""
+
+    def __init__(self, engine: Engine, port: int = 0, registration: Registration | None = None, ip: str = "127.0.0.1"):
+        self.registration = registration
+        self.server = serve_engine(engine, port, host=ip)
+        if registration is not None:
+            error = registration.register(ip, self.server.server_address[1])
+            if error is not None:
+                self.server.shutdown()
+                self.server.server_close()
+                raise ConnectionError(f"registration failed: {error}")
+
+    def close(self) -> str | None:
+        """Stop listening; gives what went wrong when the gateway was told, or None."""
+        self.server.shutdown()
+        self.server.server_close()
+        return None if self.registration is None else self.registration.unregister()
+
+
+def serve_engine(engine: Engine, port: int = 0, host: str = "127.0.0.1") -> ThreadingHTTPServer:
     def answer(method: str, path: str, body: str) -> Response | str:
         if path == "/status":
-            return "shutdown" if engine.closing else "running"
+            return engine.state
         if path != "/query" or method != "POST":
             return Response(404, {"result": "not found"})
         return engine.request(body)
 
-    return listen(answer, port)
+    return listen(answer, port, host)
 
 
 def _key() -> str:
