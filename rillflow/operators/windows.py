@@ -8,28 +8,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+
+SAMPLES = 100  # rows for each range that are sampled to find where ranges end
+
+
+def _bounds(df: DataFrame, order: list[str], n: int) -> list[Column]:
+    """Keys that cut the rows into about ``n`` even ranges, from at most ``SAMPLES * n`` rows.
+
+    They only decide how even the ranges are, never a row's number.
+    """
+    sample = df.select(*order).withColumn("_rand", F.rand(7)).orderBy("_rand").limit(SAMPLES * n).drop("_rand")
+    found = sample.orderBy(*(F.col(c).asc_nulls_first() for c in order)).collect()
+    cuts = list(dict.fromkeys(tuple(found[i * len(found) // n]) for i in range(1, n))) if found else []
+    kinds = [df.schema[c].dataType for c in order]
+    return [F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(cut, kinds, order, strict=True))) for cut in cuts]
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "_x", parts: int | None = None) -> DataFrame:
     """Add the number (from 0) of each row in the order of the columns ``order``.
 
-    Rows are cut into ranges of the first column; each task numbers its own range,
-    and sums of the ranges' counts (one row for each) give where a range starts. A
-    first column that has no numeric order is numbered in one task.
+    Rows are cut into ranges of all these columns together, whatever their types, so
+    that one file, one time or a batch without times is shared by many tasks. Each task
+    numbers its own range, and sums of the ranges' counts (one row for each) give where
+    a range starts. Nulls come first; only rows that are equal in all columns of
+    ``order`` stay in one range.
     """
-    kind = df.schema[order[0]].dataType
     own = [F.col(c).asc_nulls_first() for c in order]
-    if not isinstance(kind, (T.NumericType, T.TimestampType, T.DateType)):
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*own)) - 1).cast("long"))
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col(order[0])
-    number = key.cast("double") if not isinstance(kind, T.DateType) else F.unix_date(key).cast("double")
-    bounds = df.agg(F.percentile_approx(number, [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    where = F.lit(0)
-    if bounds:
-        where = F.coalesce(F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b <= number)), F.lit(0))
-        where = F.when(number.isNull(), F.lit(-1)).otherwise(where)
+    bounds = _bounds(df, order, n)
+    key = F.struct(*(F.col(c).alias(c) for c in order))
+    where = F.size(F.filter(F.array(*bounds), lambda b: b <= key)) if bounds else F.lit(0)
     rows = df.withColumn("_range", where)
     counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

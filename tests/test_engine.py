@@ -156,6 +156,18 @@ def test_window_membership(spark, size, advance):
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
 
 
+def test_numbers_of_text_keys_and_equal_first_columns(spark):
+    values = [None, "", "a", "b", "ü"]
+    rows = [(None, values[(i * 7) % 5], float("nan") if i % 11 == 0 else None if i % 13 == 0 else i % 4 / 2, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "t timestamp, s string, d double, i long").repartition(3)
+    for order in (["t", "i"], ["s", "i"], ["t", "s", "d", "i"]):
+        got = windows.numbered(df, order, parts=8).orderBy("_x").collect()
+        assert [r._x for r in got] == list(range(400))
+        assert [r.i for r in got] == [r.i for r in df.orderBy(*(F.col(c).asc_nulls_first() for c in order)).collect()]
+    assert windows.numbered(df.limit(0), ["s"]).count() == 0
+    assert len(windows._bounds(df, ["t", "i"], 8)) == 7
+
+
 def test_numbering_is_total_and_in_order(spark):
     df = spark.createDataFrame([(float(x % 7), x) for x in range(100)] + [(None, -1)], "a double, b long").repartition(5)
     rows = sorted((r._x, r.a if r.a is not None else -1.0, r.b) for r in windows.numbered(df, ["a", "b"]).collect())
