@@ -7,6 +7,7 @@ in their order, over the stored rows and after that over each batch of live rows
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable
@@ -20,7 +21,7 @@ from .functions.scripts import BadScript, Script, coerce
 from .operators import features, models
 from .plans import parser as p
 from .sources import uris
-from .sources.shared import shared_dir
+from .streaming.home import STORED, Home
 from .streaming.windows import OngoingWindow
 
 
@@ -45,6 +46,7 @@ class Source:
     schema: object = None
     state: str = "Initialized"
     steps: list[tuple[object, Callable[[Batch], None]]] = field(default_factory=list)
+    windows: list[OngoingWindow] = field(default_factory=list)
 
 
 @dataclass
@@ -61,10 +63,17 @@ class Engine:
     ``stamp`` is the column with event times (text, ISO 8601 without zone);
     ``output`` gets lines of LOG STREAM. ``fired`` gets a stream's name and the calls
     of a trigger, a row with the arguments for each; it must run them once.
+
+    With a ``name``, a live source goes on where the last engine of that name stopped
+    or broke off: give the same statements again, then START PROCESSING. The stored
+    part isn't read again; rows of streams are given once, triggers and logs of the
+    batch that broke off run again.
     """
 
-    def __init__(self, spark: SparkSession, stamp: str = "event_timestamp", output: Callable[[str], object] = print, fired: Callable[[str, DataFrame], object] | None = None):
-        self.spark, self.stamp, self.output = spark, stamp, output
+    def __init__(self, spark: SparkSession, stamp: str = "event_timestamp", output: Callable[[str], object] = print, fired: Callable[[str, DataFrame], object] | None = None, name: str | None = None):
+        if name is not None and not re.fullmatch(r"\w[\w.-]*", name):
+            raise ValueError(f"an engine's name has letters, digits, '_', '.' and '-': {name}")
+        self.spark, self.stamp, self.output, self.name = spark, stamp, output, name
         self.fired = fired or (lambda stream, calls: calls.write.format("noop").mode("overwrite").save())
         spark.conf.set("spark.sql.ansi.enabled", "false")
         self.sources: dict[str, Source] = {}
@@ -76,7 +85,7 @@ class Engine:
         self.closing = False
         self.state = "running"  # then "stop-and-poll" while a stream ends, "shutdown" for good
         self.times = [0, 0]
-        self.results: dict[str, list[DataFrame]] = {}
+        self.results: dict[str, Callable[[], DataFrame]] = {}
         self.prefix = f"s{uuid.uuid4().hex[:8]}_"
         spark.sql(_HIGHEST)
 
@@ -231,6 +240,15 @@ class Engine:
         self._add(source, s, step, s.name)
         return "CREATE STREAM"
 
+    def transform(self, name: str, stream: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """A stream that any function of DataFrames makes of another one, batch by batch."""
+        self._new_name(name, "stream")
+
+        def step(batch: Batch) -> None:
+            batch.tables[name] = change(batch.tables[stream])
+
+        self._add(self._source_of([stream]), ("transform", name, stream), step, name)
+
     def stream_from_window(self, s: p.StreamFromWindow) -> str:
         specs, errors = [], []
         names = [f for f, _, a in s.aggregates if a is None]
@@ -248,6 +266,7 @@ class Engine:
         if s.size < 1 or s.advance < 1:
             raise Refused(400, "a window's size and advance are 1 at least")
         state = OngoingWindow(specs, s.size, s.advance, s.kind, self.stamp)
+        source.windows.append(state)
 
         def step(batch: Batch) -> None:
             rows = batch.tables[s.source]
@@ -360,13 +379,33 @@ class Engine:
 
     # ------------------------------------------------------------ processing
 
-    def _pass(self, source: Source, rows: DataFrame, last: bool, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    def _pass(self, source: Source, rows: DataFrame, last: bool) -> dict[str, DataFrame]:
+        """Run the steps over a batch; gives the rows of each stream."""
         batch = Batch(_Tables({source.name: rows}), last)
         for _, step in source.steps:
             step(batch)
-        for name, df in batch.tables.items():
-            if name != source.name:
-                self.results.setdefault(name, []).append(keep(df))
+        return {name: df for name, df in batch.tables.items() if name != source.name}
+
+    def _live_pass(self, source: Source, home: Home, number: int, rows: DataFrame, record: dict) -> None:
+        """A batch whose results and, for a named engine, state are written."""
+        for name, df in self._pass(source, rows, last=False).items():
+            home.give(name, number, df)
+            self.results[name] = lambda name=name: home.table(name)
+        if home.lasting:
+            at = home.folder(number)
+            windows = [w.save(f"{at}/window{i}") for i, w in enumerate(source.windows)]
+            learned = {n: m.save(self.spark, f"{at}/model-{n}") for n, m in self.models.items()}
+            home.save(number, {**record, "windows": windows, "models": learned})
+        for w in source.windows:
+            w.scratch.turn(self.spark)
+
+    def _resume(self, source: Source, home: Home, number: int) -> None:
+        """Windows and models as they were after a batch."""
+        record, at = home.load(number), home.folder(number)
+        for i, (w, state) in enumerate(zip(source.windows, record["windows"], strict=True)):
+            w.load(self.spark, f"{at}/window{i}", state)
+        for name, state in record["models"].items():
+            self.models[name].load(self.spark, f"{at}/model-{name}", state)
 
     def start(self, s: p.StartProcessing) -> str:
         source = self.sources.get(s.source)
@@ -381,29 +420,49 @@ class Engine:
         source.state, self.current = "Running", source
         began = time.time()
         try:
-            rows = source.reader()
-            self._pass(source, rows, last=source.stream is None)
-            self.times[0] = int((time.time() - began) * 1000)
             if source.stream:
-                self._go_live(source, rows)
+                self._go_live(source)
+            else:
+                self.results.update({name: lambda df=df: df for name, df in self._pass(source, source.reader(), last=True).items()})
+                self.times[0] = int((time.time() - began) * 1000)
         except Exception:
             source.state, self.current = "Finished", None
             raise
         return "START PROCESSING"
 
-    def _go_live(self, source: Source, stored: DataFrame) -> None:
-        largest = stored.agg(F.max(self.stamp)).first()[0] if self.stamp in stored.columns else None
-        lines = uris.live(self.spark, source.stream)
-
-        def each(df: DataFrame, _: int) -> None:
+    def _go_live(self, source: Source) -> None:
+        """The stored part, if no engine of this name read it before, then the live one."""
+        home, began = Home(self.spark, self.name, source.name), time.time()
+        wanted = [source.stream, source.schema.json(), *(repr(s) for s, _ in source.steps)]
+        before = home.latest() if home.lasting else None
+        if before is None:
+            stored = source.reader()
+            largest = stored.agg(F.max(self.stamp)).first()[0] if self.stamp in stored.columns else None
+            record = {"statements": wanted, "largest": largest}
+            self._live_pass(source, home, STORED, stored, record)
+        else:
+            record = {k: v for k, v in home.load(before).items() if k in ("statements", "largest")}
+            if record["statements"] != wanted:
+                raise Refused(400, f"the state of '{source.name}' was saved by other statements")
+            largest = record["largest"]
+            self.results.update({name: lambda name=name: home.table(name) for name in home.streams})
+        self.times[0] = int((time.time() - began) * 1000)
+        lines = uris.live(self.spark, source.stream, self.stamp)
+        resumed = before is None
+
+        def each(df: DataFrame, number: int) -> None:
+            nonlocal resumed
+            if not resumed:
+                self._resume(source, home, number - 1)
+                resumed = True
             lines = df.select("value", F.lit(None).cast("timestamp").alias("_a1"), F.lit(None).cast("string").alias("_a2"), F.monotonically_increasing_id().alias("_a3"))
             rows = uris.rows(lines, source.schema, uris.ARRIVAL)
             if largest:
                 rows = rows.where(F.col(self.stamp) > largest)
-            self._pass(source, rows, last=False, keep=models._kept)
+            self._live_pass(source, home, number, rows, record)
 
         self.live_began = time.time()
-        writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", f"{shared_dir(self.spark)}/rillflow-{uuid.uuid4().hex}")
+        writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", f"{home.path}/checkpoint")
         self.running = writer.trigger(processingTime="2 seconds").start()
 
     def _stop(self) -> tuple[int, int] | None:
@@ -436,11 +495,7 @@ class Engine:
 
     def table(self, stream: str) -> DataFrame:
         """All rows that a stream has given so far."""
-        found = self.results[stream]
-        out = found[0]
-        for df in found[1:]:
-            out = out.unionByName(df)
-        return out
+        return self.results[stream]()
 
 
 class _Lazy:

@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import shared_dir
 from .features import DATUM, vector, with_datum
@@ -32,6 +33,17 @@ class Model:
             raise TypeError
         self.parameter = self.config.get("parameter") or {}
 
+    def save(self, spark: SparkSession, folder: str) -> dict:
+        """Write what was learned; gives what ``load`` needs beside the folder."""
+        rows = self.rows
+        if rows is not None:
+            rows.write.mode("overwrite").parquet(folder)
+        return {"rows": None if rows is None else rows.schema.jsonValue()}
+
+    def load(self, spark: SparkSession, folder: str, record: dict) -> None:
+        schema = record["rows"]
+        self.rows = None if schema is None else _kept(spark.read.schema(T.StructType.fromJson(schema)).parquet(folder))
+
     def read(self, df: DataFrame) -> DataFrame:
         """``df`` with the datum of each row as ``_datum``, and its vector as ``_x``."""
         return with_datum(df, self.rules, self.key, self.call).withColumn("_x", vector(F.col("_datum")))
@@ -50,6 +62,16 @@ class Classifier(Model):
         self.state: dict[tuple[str, str], tuple[float, float]] = {}
         self.labels: list[str] = []
 
+    def save(self, spark: SparkSession, folder: str) -> dict:
+        rows = [(o, f, w, c) for (o, f), (w, c) in self.state.items()]
+        spark.createDataFrame(rows, "label string, feature string, w double, c double").write.mode("overwrite").parquet(folder)
+        return {"labels": self.labels}
+
+    def load(self, spark: SparkSession, folder: str, record: dict) -> None:
+        self.labels = record["labels"]
+        rows = spark.read.schema("label string, feature string, w double, c double").parquet(folder).collect()  # the model
+        self.state = {(m["label"], m["feature"]): (m["w"], m["c"]) for m in rows}
+
     @staticmethod
     def learn(state: dict, labels: list[str], label: str, x: dict[str, float], r: float) -> None:
         """One example; ``state`` holds (weight, variance) by label and feature."""

@@ -56,10 +56,10 @@ def stored(spark: SparkSession, uri: str) -> DataFrame:
 ARRIVAL = ["_a1", "_a2", "_a3"]
 
 
-def live(spark: SparkSession, uri: str) -> DataFrame:
-    """Unbounded lines of a place."""
+def live(spark: SparkSession, uri: str, stamp: str = "event_timestamp") -> DataFrame:
+    """Unbounded lines of a place; ``stamp`` names the column of times in ``dummy``."""
     if uri == "dummy":
-        three = F.array(*(F.lit(x) for x in dummy_rows()))
+        three = F.array(*(F.lit(x) for x in dummy_rows(stamp)))
         return spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.explode(three).alias("value"))
     if uri.startswith("file:"):
         return spark.readStream.option("latestFirst", "false").text(path_of(uri))
@@ -68,8 +68,12 @@ def live(spark: SparkSession, uri: str) -> DataFrame:
     return reader.load().select(F.col("value").cast("string"))
 
 
+#: Gender, age and time of the rows of ``dummy``.
+DUMMY = (("m", 26, "2014-11-21T15:52:21.943321112"), ("f", 24, "2014-11-21T15:52:22"), ("m", 31, "2014-11-21T15:53:21.12345"))
+
+
 def dummy_rows(stamp: str = "event_timestamp") -> list[str]:
-    return [f'{{"gender":"{g}","age":{a},"{stamp}":"2014-11-21T15:52:{s}"}}' for g, a, s in (("m", 26, "21.943"), ("f", 24, "22.100"), ("m", 31, "22.500"))]
+    return [f'{{"gender":"{gender}","age":{age},"{stamp}":"{time}"}}' for gender, age, time in DUMMY]
 
 
 def infer(spark: SparkSession, uri: str) -> T.StructType:

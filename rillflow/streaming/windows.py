@@ -1,18 +1,20 @@
 """Sliding windows that go on from batch to batch.
 
 State is the number of rows so far and a table of the rows that later windows still
-need; the table lies in the shared folder. A count window is given when its last
+need (fewer than a window's size, or its span of time); the table lies in the shared
+folder, can be saved after each batch and loaded by a later process. A count window is given when its last
 row arrives, a time window when a later time shows that it is over.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.aggregates import Aggregate, aggregate
-from ..operators.models import _kept
 from ..operators.windows import by_count, by_time, numbered, windows_of
+from .home import Scratch
 
 
 class OngoingWindow:
@@ -23,6 +25,18 @@ class OngoingWindow:
         scale = 1 if kind == "tuples" else 1000
         self.size, self.advance = size * scale, advance * scale
         self.seen, self.pending, self.given = 0, None, None
+        self.scratch = Scratch()
+
+    def save(self, folder: str) -> dict:
+        """Write the rows that later windows need; gives the rest of the state."""
+        if self.pending is not None:
+            self.pending.write.mode("overwrite").parquet(folder)
+        return {"seen": self.seen, "given": self.given, "pending": None if self.pending is None else self.pending.schema.jsonValue()}
+
+    def load(self, spark: SparkSession, folder: str, record: dict) -> None:
+        self.seen, self.given = record["seen"], record["given"]
+        schema = record["pending"]
+        self.pending = None if schema is None else spark.read.schema(T.StructType.fromJson(schema)).parquet(folder)
 
     def push(self, df: DataFrame, order: list[str], ts: Column | None, last: bool = False) -> DataFrame:
         """Take a batch; gives the windows that are complete (with ``last``: all that are left)."""
@@ -36,7 +50,7 @@ class OngoingWindow:
             rows = df.select(F.floor(F.unix_micros(ts) / 1000).alias("_ord"), *inputs).where("_ord is not null")
             if self.given is not None:  # late rows are dropped
                 rows = rows.where(F.col("_ord") >= self.given)
-        rows = _kept(rows if self.pending is None else self.pending.unionByName(rows))
+        rows = self.scratch.keep(rows if self.pending is None else self.pending.unionByName(rows))
         if self.kind == "tuples":
             end = rows.agg(F.max("_ord")).first()[0]
             self.seen = self.seen if end is None else end + 1
@@ -52,7 +66,7 @@ class OngoingWindow:
             over = max(0, (limit - self.size) // self.advance + 1)
             if over * self.advance > (self.given or 0):
                 self.given = over * self.advance
-            self.pending = _kept(rows.where(F.col("_ord") >= (self.given or 0)))
+            self.pending = self.scratch.keep(rows.where(F.col("_ord") >= (self.given or 0)))
         windows = windows.withColumn("_pos", F.col("_ord") - F.col("_k") * self.advance).withColumn("_win", F.col("_k") * self.advance).drop("_k")
         return self._shown(aggregate(windows, ["_win"], self.aggs, placed=self.kind == "tuples"))
 

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -96,6 +97,68 @@ def test_live_hand_over(people, tmp_path, spark):
     assert [r.a for r in engine.table("w").collect()] == [sum(ages[i : i + 4]) / 4 for i in range(0, 16, 4)]
 
 
+def test_restart_goes_on_where_it_stopped(people, tmp_path, spark):
+    """Windows, models and rows of a named engine that is started anew equal those of one that ran through."""
+    _, place = people
+    statements = [
+        "CREATE STREAM w FROM SLIDING WINDOW (SIZE 5 ADVANCE 3 TUPLES) OVER ds WITH avg(age) AS a",
+        "CREATE STREAM t FROM SLIDING WINDOW (SIZE 2 ADVANCE 1 TIME) OVER ds WITH avg(age) AS a",
+        "CREATE STREAM s FROM SELECT age, age, gender FROM ds",
+        """CREATE CLASSIFIER MODEL m (label: gender) AS age CONFIG '{"method": "AROW", "parameter": {}}'""",
+        "UPDATE MODEL m USING train FROM ds",
+    ]
+
+    def line(i: int) -> str:
+        return json.dumps({"gender": "fm"[i % 2], "age": 50 + i * i, "event_timestamp": f"2014-11-21T14:55:{i:02}.0"})
+
+    def begin(live, name):
+        engine = Engine(spark, output=lambda _: None, name=name)
+        ok(engine, f'CREATE DATASOURCE ds (gender string, age numeric, event_timestamp string) FROM (STORAGE: "{place}/data.json", STREAM: "file://{live}")', *statements, "START PROCESSING ds")
+        engine.running.processAllAvailable()
+        return engine
+
+    def end(engine):
+        ok(engine, "STOP PROCESSING")
+        shown = {n: sorted(map(tuple, engine.table(n).collect()), key=str) for n in ("w", "t", "s")}
+        return shown, engine.models["m"].labels, dict(engine.models["m"].state)
+
+    def files(live, numbers):
+        part = live / f".{numbers[0]}"
+        part.write_text("\n".join(map(line, numbers)))
+        part.rename(live / f"{numbers[0]}.json")
+
+    found = {}
+    for name in ("through", "again"):
+        live = tmp_path / name
+        live.mkdir()
+        engine = begin(live, f"{name}-{tmp_path.name}-{time.time_ns()}")
+        for numbers in (range(7), range(7, 10), range(10, 24)):
+            if name == "again":
+                end(engine)
+                engine = begin(live, engine.name)
+            files(live, numbers)
+            engine.running.processAllAvailable()
+        found[name] = end(engine)
+        if name == "again":
+            idle = begin(live, engine.name)  # nothing new: all rows are there
+            assert end(idle)[0] == found[name][0]
+            statements.pop(0)
+            refused = Engine(spark, name=engine.name)
+            ok(refused, f'CREATE DATASOURCE ds (gender string, age numeric, event_timestamp string) FROM (STORAGE: "{place}/data.json", STREAM: "file://{live}")', *statements)
+            assert "other statements" in refused.execute("START PROCESSING ds").body["result"]
+    assert found["through"] == found["again"]
+    ages = AGES + [50 + i * i for i in range(24)]
+    assert found["again"][0]["w"] == sorted([(sum(ages[i : i + 5]) / 5,) for i in range(0, len(ages) - 4, 3)], key=str)
+
+
+def test_transform_of_a_stream(spark):
+    engine = Engine(spark, output=lambda _: None)
+    engine.register("e", spark.createDataFrame([(i, float(i)) for i in range(6)], "id long, x double"), ["id"])
+    engine.transform("odd", "e", lambda df: df.where("id % 2 = 1").withColumn("y", F.col("x") * 2))
+    ok(engine, "CREATE STREAM w FROM SLIDING WINDOW (SIZE 2 ADVANCE 1 TUPLES) OVER odd WITH avg(y) AS a", "START PROCESSING e")
+    assert [r.a for r in engine.table("w").collect()] == [4.0, 8.0]
+
+
 @pytest.mark.parametrize(
     ("text", "code", "part"),
     [
