@@ -4,8 +4,12 @@ A template is any object with ``render(turns) -> str``. Successive prefixes of a
 conversation are rendered; where each output begins with the one before, the rest
 is the last turn's span. Where it does not, the template rewrites history and the
 conversation is marked. Inside a span the text is found by rendering the turn again
-with two probes. Long conversations are rendered in windows if the template says,
-by ``context``, on how many earlier turns a turn's span may depend.
+with two probes. Whole prefixes are rendered unless the template promises, by
+``context``, on how many earlier turns a turn's span may depend; then long
+conversations are rendered in windows. The promise is checked: where a window ends,
+the next turn is rendered after the old turns and after the new ones. Where the
+template rewrites the old turns there, the conversation is marked; where only the
+span differs, it is an error.
 
 ``InstTemplate`` marks turns by control strings and escapes those inside texts by
 a backslash after the first character (and doubles backslashes), so that a control
@@ -99,12 +103,22 @@ class Rendering:
         self.output = ""
         self.rewrites = False
 
+    def _move(self, context: int, turn: Turn) -> None:
+        """Begin a new window of the last ``context`` turns, if ``turn`` comes out alike in both."""
+        tail = self.turns[len(self.turns) - context :]
+        head = self.template.render(tail) if tail else ""
+        old, new = self.template.render([*self.turns, turn]), self.template.render([*tail, turn])
+        if not old.startswith(self.output):
+            self.rewrites = True
+        if not self.rewrites and (not new.startswith(head) or old[len(self.output) :] != new[len(head) :]):
+            raise ValueError(f"a span depends on more than the {context} turns that the template declares")
+        self.turns, self.output = tail, head
+
     def add(self, role: str, text: str) -> tuple[str | None, int, int]:
         """(span, start and end of the text in it) of the next turn; no span after a rewrite."""
         context = self.template.context
         if context is not None and len(self.turns) >= self.window + context:
-            self.turns = self.turns[len(self.turns) - context :] if context else []
-            self.output = self.template.render(self.turns) if self.turns else ""
+            self._move(context, (role, text))
         output = self.template.render([*self.turns, (role, text)])
         if self.rewrites or not output.startswith(self.output):
             self.rewrites = True

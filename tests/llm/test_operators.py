@@ -501,6 +501,42 @@ def test_chat_round_trip_of_hostile_texts():
         assert [chat.unescape(s[a:b]) for s, a, b in spans] == [t for _, t in turns]
 
 
+class Counting:
+    """Writes the number of turns in front once there are more than ``late``."""
+
+    context: int | None = 0
+
+    def __init__(self, late):
+        self.late = late
+
+    def render(self, turns):
+        head = f"{len(turns)} turns:" if len(turns) > self.late else ""
+        return head + "".join(f"<{role}>{text}" for role, text in turns)
+
+
+class Following:
+    """A turn begins with the role of the one before it."""
+
+    def __init__(self, context):
+        self.context = context
+
+    def render(self, turns):
+        return "".join(f"<{before}-{role}>{text};" for (before, _), (role, text) in zip([("", ""), *turns], turns, strict=False))
+
+
+def test_chat_windows_check_what_the_template_declares():
+    turns = [("ab"[i % 2], f"t{i}") for i in range(9)]
+    late = chat.Rendering(Counting(4), window=4)
+    assert [late.add(*t)[0] is not None for t in turns] == [True] * 4 + [False] * 5 and late.rewrites
+    kept = chat.Rendering(Following(1), window=3)
+    spans = [kept.add(*t) for t in turns]
+    assert "".join(s for s, _, _ in spans[:4]) == Following(1).render(turns[:4]) and not kept.rewrites
+    assert [s[a:b] for s, a, b in spans] == [t for _, t in turns]
+    wrong = chat.Rendering(Following(0), window=3)
+    with pytest.raises(ValueError, match="depends on more"):
+        [wrong.add(*t) for t in turns]
+
+
 def conversations(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, None, None), (None, 0, "assistant", "n"), (3, 0, "user", "t"), (3, 0, "assistant", "t"), (1, 1, "assistant", "b")]
     rows += [(4, i, "assistant" if i % 2 else "user", f"text {i} </s>") for i in range(700)]
