@@ -50,13 +50,16 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = jaccard.join(keyed, width=5, percent=80, id_col=key).groupBy(key).agg(F.min("component_id").alias("_group"), F.count("*").alias("_copies"))
     ids = keyed.groupBy(key).agg(F.min("doc_id").alias("_id"))
     order = F.struct(F.col("_id").isNull(), "_id", key)
-    best = found.join(ids, key).groupBy("_group").agg(F.min_by(F.struct(key, "_copies"), order).alias("_best"))
+    named = materialize(found.join(ids, key))
+    best = named.groupBy("_group").agg(F.min_by(F.struct(key, "_copies"), order).alias("_best"))
     kept = materialize(best.select(f"_best.{key}", "_best._copies"))
-    out = keyed.join(kept.where("_copies = 1").select(key), key, "left_semi").select(*docs.columns)
-    several = kept.where("_copies > 1").select(key)
-    if several.isEmpty():
-        return out
-    return out.union(keyed.join(several, key, "left_semi").dropDuplicates([key]).select(*docs.columns))
+    one, several = (kept.where(c).select(key) for c in ("_copies = 1", "_copies > 1"))
+    pick = lambda own: jaccard.picked(keyed, key, own, named.select(key).join(own, key, "left_anti"))
+    out = pick(one).select(*docs.columns)
+    if not several.isEmpty():
+        out = out.union(pick(several).dropDuplicates([key]).select(*docs.columns))
+    discard(named, kept)
+    return out
 
 
 def temperature_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

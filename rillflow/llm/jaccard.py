@@ -20,7 +20,7 @@ boundary takes the least cost over the histogram of sizes.
 
 Sets that are equal are one node, so thousands of copies cost no pairs.
 
-``LIGHT``, ``STARS``, ``BITMAP`` and the sizes of the bitmaps bear on speed alone: results are
+``LIGHT``, ``STARS``, ``BITMAP``, ``PICKED`` and the sizes of the bitmaps bear on speed alone: results are
 exact at every size.
 
 Defined results: a null text is empty; a document without words has no set and
@@ -46,10 +46,11 @@ from .common import chunks, discard, materialize, mix, release, small_batches, w
 from .components import components
 
 LIGHT = 40
-PARITY = 256
+PARITY = 512
 FINE = 8192
 FINE_ABOVE = 512
 BITMAP = 26
+PICKED = 3
 BEFORE = 3
 STARS = 16
 SCAN_COST = 8
@@ -115,26 +116,61 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
 
+def bitmap(keys: DataFrame, place: Callable[[int], Column]) -> tuple[int, DataFrame]:
+    """How many bits (at most ``BITMAP``) the places of ``keys`` have, and their bitmap
+    (w, b) of words that aren't 0. ``place`` hashes a key to so many bits."""
+    bits = min(BITMAP, max(10, (8 * keys.count()).bit_length()))
+    h = keys.select(place(bits).alias("h"))
+    return bits, h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("b"))
+
+
+def picked(docs: DataFrame, key: str, kept: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is in ``kept``; every key is in ``kept`` or ``gone``.
+
+    A bitmap of the keys that go leaves out most rows that stay, one of the other keys
+    that it holds leaves out most rows that go, and so on. Only rows that all bitmaps
+    hold are joined, so texts are hardly shuffled; the sizes of the bitmaps bear on
+    speed alone.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.struct(*docs.columns).alias("row"), F.lit(None).cast("int").alias("left_out"))
+    held, others = (materialize(x.select(F.col(key).alias("key"))) for x in (gone, kept))
+    for level in range(PICKED):
+        place = lambda bits: F.xxhash64("key", F.lit(level)).bitwiseAND((1 << bits) - 1)  # noqa: B023, E731
+        bits, found = bitmap(held, place)
+        told = F.broadcast(materialize(found))
+        inside = F.coalesce(F.expr("shiftright(b, int(h & 63)) & 1 = 1"), F.lit(False))
+        look = lambda df: df.withColumn("h", place(bits)).join(told, F.shiftright("h", 6) == F.col("w"), "left").withColumn("inside", inside).drop("h", "w", "b")  # noqa: B023, E731
+        rows = look(rows).withColumn("left_out", F.when(F.col("left_out").isNull() & ~F.col("inside"), level).otherwise(F.col("left_out"))).drop("inside")
+        more = materialize(look(others).where("inside").select("key"))
+        discard(others)
+        held, others = more, held
+    last, rest = (held, others) if PICKED % 2 else (others, held)
+    discard(rest)
+    sure = rows.where("left_out % 2 = 0")
+    return sure.select("row.*").union(rows.where("left_out is null").join(last, "key", "left_semi").select("row.*"))
+
+
 def reread(docs: DataFrame, ids: DataFrame, width: int, kinds: str, give: Callable[[list[np.ndarray]], list[pa.Array]]) -> DataFrame:
-    """(node, *kinds) of the sets of rows whose ids are in ``ids(doc_id)``, and of few others.
+    """(node, *kinds) of the sets of rows whose ids are in ``ids(doc_id)``, and of few others,
+    which may be copies: ``single`` leaves one row of a node.
 
     ``give`` makes the columns of ``kinds`` from sets in the order of their hashes. A
     bitmap of hashed ids (at most ``1 << BITMAP`` bits) tells tasks which texts to
     read, so texts are never shuffled.
     """
-    bits = min(BITMAP, max(10, (8 * ids.count()).bit_length()))
-    place = F.xxhash64("doc_id").bitwiseAND((1 << bits) - 1)
-    words_ = ids.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("b")).toArrow()
-    bitmap = np.zeros(max(1, 1 << bits >> 6), np.int64)
-    bitmap[words_.column("w").to_numpy()] = words_.column("b").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+    place = lambda bits: F.xxhash64("doc_id").bitwiseAND((1 << bits) - 1)
+    bits, found = bitmap(ids, place)
+    words_ = found.toArrow()
+    asked_ = np.zeros(max(1, 1 << bits >> 6), np.int64)
+    asked_[words_.column("w").to_numpy()] = words_.column("b").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(asked_.view(np.uint64))
     names = ["n", "s1", "s2", *(k.split()[0] for k in kinds.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        asked_ = shared.value
         for batch in batches:
             h = batch.column("h").to_numpy()
-            asked = bitmap[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1) == 1
+            asked = asked_[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1) == 1
             for _, raw in chunks(iter([batch.filter(pa.array(asked))]), "text"):
                 hashes, at = shingles(raw, width)
                 each = [x for a, b in zip(at[:-1], at[1:], strict=True) if len(x := np.unique(hashes[a:b]))]
@@ -142,10 +178,20 @@ def reread(docs: DataFrame, ids: DataFrame, width: int, kinds: str, give: Callab
                     keys = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in zip(*map(sums, each), strict=True)]
                     yield pa.record_batch([*keys, *give(each)], names=names)
 
-    read = docs.select("text", place.alias("h")).mapInArrow(run, f"n long, s1 long, s2 long, {kinds}")
+    read = docs.select("text", place(bits).alias("h")).mapInArrow(run, f"n long, s1 long, s2 long, {kinds}")
     return read.select(node(), "n", *names[3:])
 
 
+def single(read: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """One row of each node of a ``reread`` table, and the scratch tables that hold it.
+
+    Only the keys are shuffled; nodes with copies are few, as bitmaps hold few other rows.
+    """
+    held = materialize(read.withColumn("row", F.monotonically_increasing_id()))
+    several = materialize(held.groupBy("node").agg(F.min("row").alias("least"), F.count("*").alias("copies")).where("copies > 1").select("node", "least"))
+    return held.join(several, "node", "left").where("least is null or row = least").drop("row", "least"), (held, several)
+
+
 def listed(rows: list[np.ndarray]) -> pa.Array:
     bounds = np.cumsum([0] + [len(x) for x in rows]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(rows).view(np.int64)))
@@ -244,11 +290,11 @@ def verified(pairs: DataFrame, own: DataFrame, classes: DataFrame, docs: DataFra
     met = pairs.join(side("u"), "u").join(side("v"), "v")
     asked = materialize(met.where(near & ((100 + percent) * most >= percent * both)).select("u", "v").distinct())
     nodes = asked.select(F.col("u").alias("node")).union(asked.select("v")).distinct()
-    whole = materialize(sets(docs, classes.join(nodes, "node").select("doc_id"), width))
+    whole, scratch = single(sets(docs, classes.join(nodes, "node").select("doc_id"), width))
     joined = asked.join(whole.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(whole.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
     shared = F.size(F.array_intersect("x", "y"))
     links = materialize(joined.where((100 + percent) * shared >= percent * (F.size("x") + F.size("y"))).select("u", "v").distinct())
-    discard(whole, asked)
+    discard(asked, *scratch)
     return links
 
 
@@ -293,8 +339,8 @@ def lists(own: DataFrame, percent: int) -> DataFrame:
     """
     entries = own.select("node", F.posexplode("head").alias("pos", "list"))
     counts = entries.groupBy("list").agg(F.count("*").alias("df")).where("df > 1")
-    met = materialize(entries.join(counts, "list").dropDuplicates(["list", "node"]))
-    sizes = own.select("node", "n", "r", F.when(F.col("n") <= FINE_ABOVE, F.col("parity")).alias("parity")).dropDuplicates(["node"])
+    met = materialize(entries.join(counts, "list"))
+    sizes = own.select("node", "n", "r", F.when(F.col("n") <= FINE_ABOVE, F.col("parity")).alias("parity"))
     rows = met.join(sizes, "node").withColumn("inside", F.col("pos") < F.col("r"))
     order = Window.partitionBy("node").orderBy(F.desc("inside"), F.when(F.col("inside"), F.col("df")), "list")
     ranked = rows.withColumns({
@@ -359,7 +405,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(docs, width).select("doc_id", "n", node()))
     classes = materialize(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    own = materialize(described(docs, classes.select("doc_id"), width, percent))
+    own, scratch = single(described(docs, classes.select("doc_id"), width, percent))
     histogram = {r["n"]: r["c"] for r in own.where(F.col("n") <= LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most LIGHT rows
     x = boundary(histogram, percent)
     light = light_links(own.where(F.col("n") <= x), percent)
@@ -371,7 +417,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     apart = across(entries, components(links), percent)
     discard(entries, near)
     more = verified(apart, own, classes, docs, width, percent)
-    discard(own, apart)
+    discard(apart, *scratch)
     release(spark)
     tied = components(links.union(more))
     least = classes.join(tied, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))

@@ -616,6 +616,47 @@ def test_jaccard_join_by_brute_force(spark, width, percent):
     assert jaccard.join(df.limit(0), width, percent).count() == 0
 
 
+def test_copies_are_read_as_one_node(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BITMAP", 1)  # every row is read again, copies too
+    seen, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, own, *more: seen.append((own.count(), own.select("node").distinct().count())) or verified(pairs, own, *more))
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words)] * 40 + [" ".join([*words[:-1], f"x{i}"]) for i in range(5)] + ["one two three four five six"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.join(df, 5, 80).collect()}
+    assert got == {i: 0 if i < 45 else 45 for i in range(48)}
+    assert seen and all(rows == nodes == 7 for rows, nodes in seen)
+
+
+@pytest.mark.parametrize("bits", [1, 12, 26])
+def test_kept_rows_are_picked_without_moving_texts(spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard, "BITMAP", bits)
+    docs = spark.range(3000).select("id", F.concat_ws(" ", *(F.sha2(F.concat("id", F.lit(f" {i}")), 256) for i in range(8))).alias("text"))
+    keys = docs.select("id")
+    for kept in ("id % 9 <> 4", "id % 9 = 4", "true", "false"):
+        got = jaccard.picked(docs, "id", keys.where(kept), keys.where(f"not ({kept})"))
+        assert got.columns == docs.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.where(kept).collect()))
+
+
+def test_stage_shuffles_no_texts(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = F.concat_ws(" ", *(F.sha2(F.concat(F.col("id") - (F.col("id") % 10 == 9).cast("int"), F.lit(f" {i}")), 256) for i in range(60)))
+        out = corpus_pipeline.jaccard_join(spark, spark.range(1000).select(F.col("id").alias("doc_id"), text.alias("text")), "")
+        sc = spark.sparkContext
+        sc.setJobGroup("texts", "")
+        assert sorted(r.doc_id for r in out.collect()) == [i for i in range(1000) if i % 10 != 9]
+        stages = {s for j in sc.statusTracker().getJobIdsForGroup("texts") for s in sc.statusTracker().getJobInfo(j).stageIds}
+        store = sc._jsc.sc().statusStore()
+        moved = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+        assert stages and moved < 0.2 * 1000 * 60 * 65
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_sizes_and_bounds():
     for p in (50, 80, 90):
         for a in range(1, 60):
