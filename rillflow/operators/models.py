@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import shared_dir
 from .features import DATUM, vector, with_datum
+from .neighbours import search, with_hash
 
 UPDATES = {"CLASSIFIER": ("train",), "ANOMALY": ("add",), "RECOMMENDER": ("update_row",)}
 ANALYSES = {"CLASSIFIER": ("classify",), "ANOMALY": ("calc_score",), "RECOMMENDER": ("complete_row_from_id", "complete_row_from_datum")}
@@ -200,20 +201,19 @@ class Recommender(Model):
         self.rows = _kept(old)
 
     def analyze(self, df: DataFrame, method: str, column: str) -> DataFrame:
-        asked = df.withColumn("_q", F.monotonically_increasing_id())
-        asked = _kept(asked)
+        asked = _kept(df.withColumn("_q", F.monotonically_increasing_id()))
+        mine = self._stored(df.sparkSession)
         if method == "complete_row_from_id":
-            wanted = asked.select("_q", F.coalesce(F.col(self.key).cast("string"), F.lit("NULL")).alias("id")).join(self._stored(df.sparkSession), "id").select("_q", "datum")
+            wanted = asked.select("_q", F.coalesce(F.col(self.key).cast("string"), F.lit("NULL")).alias("id")).join(mine, "id").select("_q", "datum")
         else:
             wanted = self.read(asked).select("_q", F.col("_datum").alias("datum"))
-        mine = self._stored(df.sparkSession)
-        near = nearest(wanted.select(F.col("_q").alias("q"), vector(F.col("datum")).alias("x")), mine.select("id", vector(F.col("datum")).alias("x")), NEAREST, "cosine")
-        near = near.select(F.col("q").alias("_q"), "id")
-        numbers = near.join(mine, "id").select("_q", F.explode("datum.num_values").alias("k", "v")).groupBy("_q", "k").agg(F.avg("v").alias("v"))
-        full = numbers.groupBy("_q").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("n"))
-        texts = wanted.select("_q", F.col("datum.string_values").alias("s"))
+        wanted = _kept(with_hash(wanted.select("_q", F.col("datum.string_values").alias("s"), vector(F.col("datum")).alias("x"))))
+        # numbers in the order of ids: of equally similar rows the first ids count
+        numbered = mine.select("id", vector(F.col("datum")).alias("x")).repartitionByRange("id").sortWithinPartitions("id").select(F.monotonically_increasing_id().alias("id"), "x")
+        full = search(wanted.select("h", "x"), _kept(with_hash(numbered)), NEAREST, "cosine", means=True)
+        found = wanted.select("_q", "s", "h").join(full, "h").drop("h")
         empty_s, empty_n = F.create_map().cast("map<string,string>"), F.create_map().cast("map<string,double>")
-        joined = asked.join(full, "_q", "left").join(texts, "_q", "left")
+        joined = asked.join(found, "_q", "left")
         return joined.withColumn(column, F.struct(F.coalesce("s", empty_s).alias("string_values"), F.coalesce("n", empty_n).alias("num_values"))).drop("_q", "n", "s")
 
     def _stored(self, spark: SparkSession) -> DataFrame:
