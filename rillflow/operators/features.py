@@ -35,13 +35,13 @@ def _columns(rule: Rule, left: list[str], every: list[str]) -> list[list[str]]:
     return [[c] for c in left if test(c)]
 
 
-def with_datum(df: DataFrame, rules: list[Rule], key: str | None, call: Callable[[str, list[Column]], Column] | None = None, name: str = "_datum") -> DataFrame:
+def with_datum(df: DataFrame, rules: list[Rule], key: str | None, call: Callable[[str, list[Column]], Column] | None = None, name: str = "_datum", hidden: tuple[str, ...] = ()) -> DataFrame:
     """Add the datum of each row as a column ``name``.
 
     ``call(function, columns)`` gives a user function's result as map<string,string>
-    of JSON values, with the empty key for a bare value.
+    of JSON values, with the empty key for a bare value. Columns ``hidden`` are no features.
     """
-    every = df.columns
+    every = [c for c in df.columns if c not in hidden]
     left = [c for c in every if c != key]
     kinds = {f.name: f.dataType for f in df.schema}
     strings: list[Column] = []

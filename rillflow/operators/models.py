@@ -45,9 +45,9 @@ class Model:
         schema = record["rows"]
         self.rows = None if schema is None else _kept(spark.read.schema(T.StructType.fromJson(schema)).parquet(folder))
 
-    def read(self, df: DataFrame) -> DataFrame:
+    def read(self, df: DataFrame, *hidden: str) -> DataFrame:
         """``df`` with the datum of each row as ``_datum``, and its vector as ``_x``."""
-        return with_datum(df, self.rules, self.key, self.call).withColumn("_x", vector(F.col("_datum")))
+        return with_datum(df, self.rules, self.key, self.call, hidden=hidden).withColumn("_x", vector(F.col("_datum")))
 
 
 class Classifier(Model):
@@ -206,7 +206,7 @@ class Recommender(Model):
         if method == "complete_row_from_id":
             wanted = asked.select("_q", F.coalesce(F.col(self.key).cast("string"), F.lit("NULL")).alias("id")).join(mine, "id").select("_q", "datum")
         else:
-            wanted = self.read(asked).select("_q", F.col("_datum").alias("datum"))
+            wanted = self.read(asked, "_q").select("_q", F.col("_datum").alias("datum"))
         wanted = _kept(with_hash(wanted.select("_q", F.col("datum.string_values").alias("s"), vector(F.col("datum")).alias("x"))))
         # numbers in the order of ids: of equally similar rows the first ids count
         numbered = mine.select("id", vector(F.col("datum")).alias("x")).repartitionByRange("id").sortWithinPartitions("id").select(F.monotonically_increasing_id().alias("id"), "x")
@@ -244,7 +244,7 @@ class Anomaly(Model):
         reach = own.groupBy("q").agg(F.max("d").alias("reach")).select(F.col("q").alias("id"), "reach")
         density = lambda near: near.join(reach, "id").groupBy("q").agg((1 / F.avg(F.greatest("d", "reach"))).alias("lrd"))
         stored = _kept(density(own).select(F.col("q").alias("id"), F.col("lrd").alias("their")))
-        near = _kept(self._near(self.read(asked).select(F.col("_q").cast("string").alias("q"), F.col("_x").alias("x"))))
+        near = _kept(self._near(self.read(asked, "_q").select(F.col("_q").cast("string").alias("q"), F.col("_x").alias("x"))))
         score = near.join(stored, "id").groupBy("q").agg(F.avg("their").alias("their")).join(density(near), "q").select(F.col("q").cast("long").alias("_q"), (F.col("their") / F.col("lrd")).alias("_s"))
         sound = F.when(F.col("_s").isNull() | F.isnan("_s") | (F.abs("_s") == float("inf")), 1.0).otherwise(F.col("_s"))
         return asked.join(score, "_q", "left").withColumn(column, sound).drop("_q", "_s")

@@ -54,7 +54,7 @@ def shuffled(spark, do):
     return read() - before
 
 
-@pytest.mark.parametrize("method", ["complete_row_from_id"])
+@pytest.mark.parametrize("method", ["complete_row_from_id", "complete_row_from_datum"])
 def test_recommender_shuffles_no_row_for_each_block(spark, method):
     def run(n):
         rows = spark.range(n).select(F.col("id").cast("string").alias("id"), (F.rand(1) * 50).alias("u"), (F.rand(2) * 900).alias("v"))
