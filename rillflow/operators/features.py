@@ -46,6 +46,7 @@ def with_datum(df: DataFrame, rules: list[Rule], key: str | None, call: Callable
     kinds = {f.name: f.dataType for f in df.schema}
     strings: list[Column] = []
     numbers: list[Column] = []
+    labels: dict[str, list[str]] = {"string": [], "double": []}
     made: list[tuple[str, Column]] = []
     for rule in rules:
         function = rule[2]
@@ -56,6 +57,7 @@ def with_datum(df: DataFrame, rules: list[Rule], key: str | None, call: Callable
                 own = args[0]
                 label = own + NGRAM.get(function, "")
                 kind = kinds[own]
+                labels["string" if isinstance(kind, T.StringType) else "double"].append(label)
                 if isinstance(kind, T.StringType):
                     strings.append(F.struct(F.lit(label).alias("key"), F.col(f"`{own}`").alias("value")))
                 elif isinstance(kind, T.NumericType):
@@ -75,7 +77,9 @@ def with_datum(df: DataFrame, rules: list[Rule], key: str | None, call: Callable
         quoted = lambda e: e["value"].startswith('"')
         texts = F.concat(texts, F.transform(F.filter(named, quoted), lambda e: F.struct(e["key"].alias("key"), F.get_json_object(F.concat(F.lit('{"v":'), e["value"], F.lit("}")), "$.v").alias("value"))))
         values = F.concat(values, F.transform(F.filter(named, lambda e: ~quoted(e)), lambda e: F.struct(e["key"].alias("key"), e["value"].cast("double").alias("value"))))
-    merge = lambda a, kind: F.aggregate(a, F.create_map().cast(f"map<string,{kind}>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.map_from_entries(F.array(e))))
+    last = lambda a, kind: F.aggregate(a, F.create_map().cast(f"map<string,{kind}>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.map_from_entries(F.array(e))))
+    once = not made and all(len(set(names)) == len(names) for names in labels.values())  # no key can come twice
+    merge = (lambda a, kind: F.map_from_entries(a)) if once else last
     datum = F.struct(merge(texts, "string").alias("string_values"), merge(values, "double").alias("num_values"))
     return df.withColumn(name, datum).drop(*(f"_call{i}" for i in range(len(made))))
 

@@ -8,10 +8,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,59 +132,6 @@ class Classifier(Model):
         return self.read(df).drop("_datum").mapInArrow(classify, f"{kinds}, `{column}` array<struct<label: string, score: double>>")
 
 
-BLOCK = 1024
-
-
-def _matrix(xs: pd.Series, place: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(xs), len(place)))
-    for i, x in enumerate(xs):
-        for f, v in dict(x).items():
-            out[i, place[f]] = v
-    return out
-
-
-def nearest(asked: DataFrame, stored: DataFrame, k: int, measure: str) -> DataFrame:
-    """(q, id, score): the k best of ``stored(id, x)`` for each of ``asked(q, x)``.
-
-    ``measure`` "cosine" wants large scores, "distance" small ones; a row is no
-    neighbour of itself by distance. Both sides are cut into blocks; a task compares
-    two blocks and gives the k best of each asked row, and those are merged.
-    """
-    na, nb = (max(1, -(-df.count() // BLOCK)) for df in (asked, stored))
-    by = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(F.col("q").alias("q"), F.col("x").alias("qx"), by("q", na).alias("a")).withColumn("b", every(nb))
-    right = stored.select(F.col("id").alias("id"), F.col("x").alias("rx"), by("id", nb).alias("b")).withColumn("a", every(na))
-    kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema, *stored.schema]}
-    sign = 1.0 if measure == "distance" else -1.0
-
-    def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"q": [], "id": [], "score": []})
-        place = {f: i for i, f in enumerate(sorted({f for x in [*q["qx"], *r["rx"]] for f in dict(x)}))}
-        x, y = _matrix(q["qx"], place), _matrix(r["rx"], place)
-        nx, ny = (np.sqrt((m * m).sum(axis=1)) for m in (x, y))
-        if measure == "cosine":
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score = (x @ y.T) / nx[:, None] / ny[None, :]
-            score[~np.isfinite(score)] = -np.inf
-            score[(x @ y.T) == 0] = -np.inf
-        else:
-            # by differences, so that equal rows are at zero exactly
-            score = np.sqrt(np.stack([((y - one) ** 2).sum(axis=1) for one in x]))
-            score[q["q"].to_numpy()[:, None] == r["id"].to_numpy()[None, :]] = np.inf
-        ids = r["id"].to_numpy()
-        place_of = np.argsort(np.argsort(ids.astype(str), kind="stable"))
-        order = np.stack([np.lexsort((place_of, sign * row))[:k] for row in score])
-        best = np.take_along_axis(score, order, 1)
-        sound = np.isfinite(best)
-        return pd.DataFrame({"q": np.repeat(q["q"].to_numpy(), order.shape[1])[sound.ravel()], "id": ids[order[sound]], "score": best[sound]})
-
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(compare, f"q {kinds['q']}, id {kinds['id']}, score double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score") * F.lit(sign), F.col("id").cast("string")))
-    return met.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
-
-
 class Recommender(Model):
     """Rows by id; a row is completed by the mean of its most similar rows."""
 
@@ -232,22 +178,26 @@ class Anomaly(Model):
         new = self.read(df).select(F.expr("uuid()").alias("id"), F.col("_x").alias("x"))
         self.rows = _kept(self.rows.unionByName(new) if self.rows is not None else new)
 
-    def _near(self, asked: DataFrame) -> DataFrame:
-        """(q, id, d): the k nearest stored rows of each asked row, itself left out."""
-        return nearest(asked, self.rows.select("id", "x"), self.k, "distance").withColumnRenamed("score", "d")
-
     def analyze(self, df: DataFrame, method: str, column: str) -> DataFrame:
         if self.rows is None:
             return df.withColumn(column, F.lit(1.0))
         asked = _kept(df.withColumn("_q", F.monotonically_increasing_id()))
-        own = _kept(self._near(self.rows.select(F.col("id").alias("q"), "x")))
+        mine = _kept(with_hash(self.read(asked, "_q").select("_q", F.col("_x").alias("x"))))
+        stored = _kept(with_hash(self.rows.select(F.monotonically_increasing_id().alias("id"), "x")))
+        # one search for both: one more neighbour, as a stored row is none of its own
+        found = search(stored.select("h", "x").unionByName(mine.select("h", "x")), stored, self.k + 1, "distance")
+        lists = lambda near: F.explode(F.slice(near, 1, self.k)).alias("e")
+        flat = lambda rows: rows.select("q", F.col("e.id").alias("id"), F.col("e.score").alias("d"))
+        own = flat(stored.select(F.col("id").alias("q"), "h").join(found, "h").select("q", lists(F.filter("near", lambda e: e["id"] != F.col("q")))))
         reach = own.groupBy("q").agg(F.max("d").alias("reach")).select(F.col("q").alias("id"), "reach")
-        density = lambda near: near.join(reach, "id").groupBy("q").agg((1 / F.avg(F.greatest("d", "reach"))).alias("lrd"))
-        stored = _kept(density(own).select(F.col("q").alias("id"), F.col("lrd").alias("their")))
-        near = _kept(self._near(self.read(asked, "_q").select(F.col("_q").cast("string").alias("q"), F.col("_x").alias("x"))))
-        score = near.join(stored, "id").groupBy("q").agg(F.avg("their").alias("their")).join(density(near), "q").select(F.col("q").cast("long").alias("_q"), (F.col("their") / F.col("lrd")).alias("_s"))
+        reach = _kept(reach)
+        density = lambda near: near.join(reach, "id").groupBy("q").agg(F.try_divide(F.lit(1.0), F.avg(F.greatest("d", "reach"))).alias("lrd"))
+        stored_lrd = _kept(density(own).select(F.col("q").alias("id"), F.col("lrd").alias("their")))
+        near = flat(mine.select("h").distinct().join(found, "h").select(F.col("h").alias("q"), lists(F.col("near"))))
+        score = near.join(stored_lrd, "id").groupBy("q").agg(F.avg("their").alias("their")).join(density(near), "q").select(F.col("q").alias("h"), F.try_divide("their", "lrd").alias("_s"))
+        scores = mine.select("_q", "h").join(score, "h").drop("h")
         sound = F.when(F.col("_s").isNull() | F.isnan("_s") | (F.abs("_s") == float("inf")), 1.0).otherwise(F.col("_s"))
-        return asked.join(score, "_q", "left").withColumn(column, sound).drop("_q", "_s")
+        return asked.join(scores, "_q", "left").withColumn(column, sound).drop("_q", "_s")
 
 
 def _kept(df: DataFrame) -> DataFrame:

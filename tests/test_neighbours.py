@@ -64,3 +64,27 @@ def test_recommender_shuffles_no_row_for_each_block(spark, method):
 
     few, many = (shuffled(spark, lambda n=n: run(n)) for n in (2048, 16384))
     assert many < 12 * few  # 8 times the rows; with pairs of blocks 64 times
+
+
+def test_anomaly_is_blind_to_row_numbers_and_stands_copies(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_normal((60, 2)), np.repeat([[9.0, 9.0]], 15, axis=0)])
+    rows = spark.createDataFrame([(i, *v) for i, v in enumerate(x.tolist())], "i long, a double, b double").repartition(3).select("i", "a", "b")
+    scores = []
+    for rules in ([("all", [], "id")], [("columns", ["a"], "id"), ("columns", ["b"], "id")]):
+        model = models.Anomaly("a", rules, "i", '{"parameter": {"nearest_neighbor_num": 5}}', None)
+        model.update(rows, ["i"])
+        scores.append({r.i: r.s for r in model.analyze(rows, "calc_score", "s").collect()})
+    assert scores[0] == pytest.approx(scores[1], nan_ok=False)
+    assert len(scores[0]) == 75 and all(scores[0][i] == 1.0 for i in range(60, 75))
+
+
+def test_anomaly_shuffles_no_row_for_each_block(spark):
+    def run(n):
+        rows = spark.range(n).select("id", (F.rand(1) * 50).alias("u"), (F.rand(2) * 900).alias("v"))
+        model = models.Anomaly("a", [("all", [], "id")], "id", "{}", None)
+        model.update(rows, ["id"])
+        assert model.analyze(rows, "calc_score", "s").where("s > 0").count() == n
+
+    few, many = (shuffled(spark, lambda n=n: run(n)) for n in (2048, 16384))
+    assert many < 12 * few
