@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import shared_dir
+from ..sources.shared import erase, exists, shared_dir
 from .features import DATUM, vector, with_datum
 from .neighbours import search, with_hash
 
@@ -95,11 +96,20 @@ class Classifier(Model):
                 state[rival, f] = (w - alpha * c * v, c - beta * c * c * v * v)
 
     def update(self, df: DataFrame, order: list[str]) -> None:
-        rows = self.read(df.where(F.col(self.key).isNotNull())).select(F.col(self.key).cast("string").alias("label"), F.col("_x").alias("x"), *order)
-        rows = rows.coalesce(1) if self.parts == 1 else rows.repartitionByRange(self.parts, *order)
-        rows = rows.sortWithinPartitions(*order)
+        keys = [f"_o{i}" for i in range(len(order))]
+        rows = self.read(df.where(F.col(self.key).isNotNull())).select(F.col(self.key).cast("string").alias("label"), F.col("_x").alias("x"), *(F.col(c).alias(k) for c, k in zip(order, keys, strict=True)))
+        if self.parts == 1:
+            for part, by in _ranges(rows, keys):
+                self._learn_rows(part.coalesce(1).sortWithinPartitions(*by))
+        else:
+            self._learn_rows(rows.repartitionByRange(self.parts, *keys).sortWithinPartitions(*keys))
+        known = {o for o, _ in self.state}
+        self.labels = [o for o in self.labels if o in known]
+
+    def _learn_rows(self, rows: DataFrame) -> None:
+        """Learn each partition's rows in their order, from what is known so far."""
         r = float(self.parameter.get("regularization_weight", 1.0))
-        shared = df.sparkSession.sparkContext.broadcast((self.state, self.labels))
+        shared = rows.sparkSession.sparkContext.broadcast((self.state, self.labels))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state, labels = dict(shared.value[0]), list(shared.value[1])
@@ -107,11 +117,14 @@ class Classifier(Model):
                 for label, x in zip(batch["label"], batch["x"], strict=True):
                     Classifier.learn(state, labels, label, dict(x), r)
             out = [(o, f, w, c, labels.index(o)) for (o, f), (w, c) in state.items()]
+            known = {o for o, _ in state}
+            out += [(o, None, None, None, i) for i, o in enumerate(labels) if o not in known]
             yield pd.DataFrame(out, columns=["label", "feature", "w", "c", "rank"])
 
-        made = rows.mapInPandas(run, "label string, feature string, w double, c double, rank long")
+        made = rows.select("label", "x").mapInPandas(run, "label string, feature string, w double, c double, rank long")
         made = made.groupBy("label", "feature").agg(F.avg("w").alias("w"), F.min("c").alias("c"), F.min("rank").alias("rank")).collect()  # the model
-        self.state = {(m["label"], m["feature"]): (m["w"], m["c"]) for m in made}
+        shared.destroy()
+        self.state = {(m["label"], m["feature"]): (m["w"], m["c"]) for m in made if m["w"] is not None}
         rank: dict[str, int] = {}
         for m in made:
             rank[m["label"]] = min(m["rank"], rank.get(m["label"], m["rank"]))
@@ -132,6 +145,32 @@ class Classifier(Model):
         return self.read(df).drop("_datum").mapInArrow(classify, f"{kinds}, `{column}` array<struct<label: string, score: double>>")
 
 
+RANGE = 1 << 19  # rows that one task sorts at most, or about so
+
+
+def _ranges(rows: DataFrame, keys: list[str]) -> Iterator[tuple[DataFrame, list[str]]]:
+    """The rows in ranges of ``keys``, one after the other, and by what a range is sorted.
+
+    Rows are dealt to ranges by many tasks and written to the shared folder, so that the
+    task that learns sorts one range at a time. Equal keys go by arrival, and may be cut.
+    """
+    spark = rows.sparkSession
+    n = -(-rows.count() // RANGE)
+    if n <= 1:
+        yield rows, keys
+        return
+    by = [*keys, "_t"]
+    place = f"{shared_dir(spark)}/ranges-{uuid.uuid4().hex}"
+    dealt = rows.withColumn("_t", F.monotonically_increasing_id())
+    try:
+        dealt.repartitionByRange(n, *by).withColumn("_p", F.spark_partition_id()).write.partitionBy("_p").parquet(place)
+        for i in range(n):
+            if exists(spark, f"{place}/_p={i}"):
+                yield spark.read.schema(dealt.schema).parquet(f"{place}/_p={i}"), by
+    finally:
+        erase(spark, place)
+
+
 class Recommender(Model):
     """Rows by id; a row is completed by the mean of its most similar rows."""
 
